@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import classifier, media, packing, quality_rules, tokenize, warc
+from logweave.llm import classifier, media, mixing, neardup, packing, quality_rules, secrets, tokenize, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +32,26 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
+#: Seed of the mix; part of its definition.
+MIX_SEED = 20240229
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_documents(spark, sf_dir), share=1.5, max_epochs=2.0, seed=MIX_SEED)
+
+
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir), percent=85)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.count_tokens(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), limit=2048)
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(_documents(spark, sf_dir))
+
+
 def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(_documents(spark, sf_dir))
 
@@ -51,7 +67,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc, op3_packing, op6_token_counts, op8_media_chunks, op9_quality_rules, op10_quality_classifier)
+    f.__name__: f for f in (op2_warc, op3_packing, op4_mixing, op5_minhash, op6_token_counts, op7_secrets, op8_media_chunks, op9_quality_rules, op10_quality_classifier)
 }
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -67,4 +83,7 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to
 FROM d JOIN g USING (hex)""",
+    "op4_mixing": mixing.MIX_SQL.replace("{seed}", str(MIX_SEED)),
+    "op5_minhash": neardup.NEAR_SQL,
+    "op7_secrets": secrets.SECRETS_SQL,
 }
