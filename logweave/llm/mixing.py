@@ -26,6 +26,11 @@ def priority(doc_id: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
+def _order() -> Column:
+    """The order in which a source's documents are taken, as one value."""
+    return F.struct("pri", F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "size")
+
+
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """Add weight: the sources by code point, null last, weigh the cycle's values in turn. One row per source comes in."""
     place = F.row_number().over(W.orderBy(F.col("source").isNull(), "source")) - 1
@@ -54,9 +59,9 @@ def mixing_plan(docs: DataFrame, share: float, max_epochs: float, seed: int, cyc
     """(key, b1, source_size, target, whole, cut...) for each source and each of its 4096 priority ranges.
 
     docs: (id, source, size, key, pri). weights: (source, weight), or None for cyclic ones. A source's documents are
-    taken `whole` times, and those before the cut once more. The cut is found by narrowing a histogram of priorities
-    twice and ordering only the documents of the last range, so a source of any size loads no single task. A document at
-    the cut is in if half of it or more is needed.
+    taken `whole` times, and those before the cut once more; of the one at the cut, `part` words are. The cut is found by
+    narrowing a histogram of priorities twice and ordering only the documents of the last range, so a source of any size
+    loads no single task.
     """
     b1, b2 = F.shiftright("pri", 40), F.shiftright("pri", 28).bitwiseAND(4095)
     bins = materialize(docs.groupBy("key", b1.alias("b1")).agg(F.sum("size").alias("words"), F.first("source").alias("source")), "mix-bins")
@@ -84,20 +89,28 @@ def mixing_plan(docs: DataFrame, share: float, max_epochs: float, seed: int, cyc
     level2 = narrow(inner.groupBy("key", "b2", "left1").agg(F.sum("size").alias("words")), "b2", "left1").select("key", F.col("at.b2").alias("b2"), F.col("at.left").alias("left2"))
     order = W.partitionBy("key").orderBy("pri", F.col("id").isNull(), "id", "size")
     last = inner.join(level2, ["key", "b2"]).groupBy("key", "pri", "id", "size", "left2").agg(F.count("*").alias("n"))
-    middle = F.sum(F.col("size") * F.col("n")).over(order) - F.col("size") * F.col("n") / 2
-    upto = F.struct("pri", F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "size")
-    cut = last.withColumn("middle", middle).where("middle <= left2").groupBy("key").agg(F.max(upto).alias("upto"))
-    place = targets.join(level1.select("key", F.col("b1").alias("cut1")), "key", "left").join(level2.select("key", F.col("b2").alias("cut2")), "key", "left").join(cut, "key", "left")
-    return bins.select("key", "b1").join(place.select("key", "source_size", "target", "whole", "cut1", "cut2", "upto"), "key")
+    before = F.sum(F.col("size") * F.col("n")).over(order) - F.col("size") * F.col("n")
+    part = F.least(F.col("size"), F.floor((F.col("left2") - F.col("before")) / F.col("n"))).cast("long")
+    cut = last.withColumn("before", before).where("before < left2").groupBy("key").agg(F.max(F.struct(_order().alias("upto"), part.alias("part"))).alias("cut"))
+    place = targets.join(level1.select("key", F.col("b1").alias("cut1")), "key", "left").join(level2.select("key", F.col("b2").alias("cut2")), "key", "left").join(cut.select("key", "cut.*"), "key", "left")
+    return bins.select("key", "b1").join(place.select("key", "source_size", "target", "whole", "cut1", "cut2", "upto", "part"), "key")
 
 
 def repetitions(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """docs (with key, pri, id, size) and source_size, target, repeats. The join is on source and priority range, so a hot source is spread."""
+    """docs (with key, pri, id, size) and source_size, target, whole, extra: so many whole repetitions, and words of one more.
+
+    extra is the document's size before the source's cut, 0 behind it, and in between for the one document at the cut.
+    The join is on source and priority range, so a hot source is spread.
+    """
     b1, b2 = F.shiftright("pri", 40), F.shiftright("pri", 28).bitwiseAND(4095)
-    own = F.struct("pri", F.col("id").isNull().alias("no_id"), F.coalesce("id", F.lit(0)).alias("id"), "size")
-    inside = F.when(F.col("cut1").isNull() | (F.col("b1") > F.col("cut1")), 0).when(F.col("b1") < F.col("cut1"), 1).when(F.col("b2") != F.col("cut2"), (F.col("b2") < F.col("cut2")).cast("int")).when(F.col("upto").isNull(), 0).otherwise((own <= F.col("upto")).cast("int"))
     joined = docs.withColumns({"b1": b1, "b2": b2}).join(plan, ["key", "b1"])
-    return joined.withColumn("repeats", F.col("whole") + inside).drop("b1", "b2", "cut1", "cut2", "upto", "whole")
+    size, none, own = F.col("size"), F.lit(0).cast("long"), _order()
+    extra = (
+        F.when(F.col("cut1").isNull() | (F.col("b1") > F.col("cut1")), none).when(F.col("b1") < F.col("cut1"), size)
+        .when(F.col("cut2").isNull() | (F.col("b2") > F.col("cut2")), none).when(F.col("b2") < F.col("cut2"), size)
+        .when(F.col("upto").isNull() | (own > F.col("upto")), none).when(own < F.col("upto"), size).otherwise(F.col("part"))
+    )
+    return joined.withColumn("extra", extra).drop("b1", "b2", "cut1", "cut2", "upto", "part")
 
 
 def sizes(df: DataFrame, seed: int, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -107,7 +120,9 @@ def sizes(df: DataFrame, seed: int, id_col: str = "doc_id", text_col: str = "tex
 
 
 def mix(df: DataFrame, share: float = 1.5, max_epochs: float = 2.0, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (5, 2, 1), weights: DataFrame | None = None) -> DataFrame:
-    """One row per row of df: id, size (words), source_size, target (the source's) and taken (size times repetitions).
+    """One row per row of df: id, size (words), source_size, target (the source's) and taken (words, repetitions counted).
+
+    A source's taken words are its target, rounded down, as one document per source is repeated in part.
 
     Null and empty texts have size 0 and are taken 0 times their size; null sources are one source of their own, the
     last in order; rows that repeat id and size are taken alike; null ids come last among equals. An empty table gives
@@ -115,16 +130,23 @@ def mix(df: DataFrame, share: float = 1.5, max_epochs: float = 2.0, seed: int =
     """
     docs = materialize(sizes(df, seed, id_col, text_col, source_col), "mix-sizes")
     got = repetitions(docs, mixing_plan(docs, share, max_epochs, seed, cycle, weights))
-    return got.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"))
+    return got.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("whole") + F.col("extra")).alias("taken"))
 
 
 def mixed_documents(df: DataFrame, share: float = 1.5, max_epochs: float = 2.0, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (5, 2, 1), weights: DataFrame | None = None) -> DataFrame:
-    """The rows of df as often as the mix takes them, with df's columns. Documents without words add nothing and are left out."""
+    """The rows of df as often as the mix takes them, with df's columns; one repetition per source has only the words needed. Documents
+    without words add nothing and are left out."""
     docs = materialize(sizes(df, seed, id_col, text_col, source_col), "mix-sizes")
     plan = mixing_plan(docs, share, max_epochs, seed, cycle, weights)
     carried = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), source_key(F.col(source_col)).alias("key"), priority(F.col(id_col), seed).alias("pri"))
-    got = repetitions(carried, plan).where("size > 0 and repeats > 0")
-    return got.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("turn")).select("row.*")
+    got = repetitions(carried, plan).where("size > 0")
+    copies = F.when(F.col("whole") > 0, F.array_repeat(F.col("size"), F.col("whole").cast("int"))).otherwise(F.array().cast("array<bigint>"))
+    turns = F.when(F.col("extra") > 0, F.concat(copies, F.array("extra"))).otherwise(copies)
+    each = got.select("row", "size", F.explode(turns).alias("words"))
+    # a word with the white space before it, so that joining the first ones gives the text up to there
+    begun = F.array_join(F.slice(F.regexp_extract_all(F.col(f"row.`{text_col}`"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    text = F.when(F.col("words") < F.col("size"), begun).otherwise(F.col(f"row.`{text_col}`"))
+    return each.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns])
 
 
 #: The same in DuckDB; {seed} as above. Caps are met in the order of cap per weight.
@@ -140,7 +162,7 @@ pick AS (SELECT lam FROM l WHERE w * lam <= 2.0 * source_size ORDER BY k LIMIT 1
 t AS (SELECT source, source_size, CASE WHEN (SELECT lam FROM pick) IS NULL THEN 2.0 * source_size ELSE least(w * (SELECT lam FROM pick), 2.0 * source_size) END AS target FROM s),
 n AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 m AS (SELECT d.doc_id, d.size, n.source_size, n.target, n.whole, n.target - n.whole * n.source_size AS need,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.pri, d.doc_id IS NULL, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size / 2.0 AS middle
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.pri, d.doc_id IS NULL, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size AS before
   FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source)
-SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(size * (whole + CASE WHEN need > 0 AND middle <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM m
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target, CAST(size * whole + greatest(0, least(size, CAST(floor(need - before) AS BIGINT))) AS BIGINT) AS taken FROM m
 """
