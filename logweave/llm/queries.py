@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm import classifier, media, mixing, neardup, packing, quality_rules, secrets, tokenize, warc
+from logweave.llm import classifier, linededup, media, mixing, neardup, packing, quality_rules, secrets, tokenize, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,14 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Edits within which lines are duplicates, and the code points from which on a line can have any but equal ones.
+LINE_EDITS, LINE_LENGTH = 2, 20
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_documents(spark, sf_dir), LINE_EDITS, LINE_LENGTH)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -67,7 +75,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc, op3_packing, op4_mixing, op5_minhash, op6_token_counts, op7_secrets, op8_media_chunks, op9_quality_rules, op10_quality_classifier)
+    f.__name__: f for f in (op1_line_dedup, op2_warc, op3_packing, op4_mixing, op5_minhash, op6_token_counts, op7_secrets, op8_media_chunks, op9_quality_rules, op10_quality_classifier)
 }
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
