@@ -42,45 +42,35 @@ def _marks(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit("line"), F.length(line), line).alias("k2")]
 
 
-def _segments(length: Column, parts: int) -> list[tuple[Column, Column]]:
-    """(1-based start, length) of each segment of a line of `length`: as even as can be, the longer ones last."""
-    base = ((length - length % parts) / parts).cast("int")
-    longer = length % parts
-    out = []
-    for i in range(parts):
-        short_before = F.least(F.lit(i), parts - longer)
-        start = F.lit(i) * base + (F.lit(i) - short_before) + 1
-        out.append((start.cast("int"), (base + (F.lit(i) >= parts - longer).cast("int")).cast("int")))
-    return out
+def _entries(items: DataFrame, places: list[tuple[int, int, int]], parts: int) -> DataFrame:
+    """(id, context, key, at, size) for the items (id, context, text, n): an entry for each (d, i, shift) of places.
+
+    Segment i (from 0) of a line of n - d is looked for `shift` from where it begins; segments are as even as can be, the
+    longer ones last. A row is made for each place before its key is computed: one small expression compiles well, many
+    in one row don't.
+    """
+    each = items.select("id", "context", "text", "n", F.inline(F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for d, i, s in places])))
+    each = each.where("n >= d").withColumn("target", F.col("n") - F.col("d"))
+    base, longer = F.expr(f"int(target div {parts})"), F.col("target") % parts
+    start = F.col("i") * base + F.greatest(F.lit(0), F.col("i") - (parts - longer)) + 1 + F.col("shift")
+    placed = each.select("id", "context", "text", "n", "i", "target", start.alias("at"), (base + (F.col("i") >= parts - longer).cast("int")).alias("size"))
+    placed = placed.where("at >= 1 and at + size - 1 <= n")
+    return placed.select("id", "context", F.xxhash64("context", "target", "i", F.expr("substring(text, at, size)")).alias("key"), "at", "size")
 
 
 def _index(items: DataFrame, threshold: int) -> DataFrame:
-    """(id, context, key, at, size): an entry for each segment of the items (id, context, text, n)."""
-    made = []
-    for i, (start, size) in enumerate(_segments(F.col("n"), threshold + 1)):
-        key = F.xxhash64("context", F.col("n"), F.lit(i), F.substring(F.col("text"), start, size))
-        made.append(F.struct(key.alias("key"), start.alias("at"), size.alias("size")))
-    return items.select("id", "context", F.inline(F.array(*made)))
+    """An entry for each segment of the items."""
+    return _entries(items, [(0, i, 0) for i in range(threshold + 1)], threshold + 1)
 
 
 def _probes(items: DataFrame, threshold: int) -> DataFrame:
-    """(id, context, key, at, size): an entry for each substring of the items that can be a segment of a line within reach.
+    """An entry for each substring of the items that can be a segment of a line within reach.
 
     For a line of n and an indexed one that is shorter by d, segment i (of threshold + 1, counted from 1) can lie from
     max(p - (i - 1), p + d - (threshold + 1 - i)) to min(p + (i - 1), p + d + (threshold + 1 - i)) where p is its start.
     """
-    reach = items.select("id", "context", "text", "n", F.explode(F.sequence(F.lit(0), F.lit(threshold))).alias("d")).where("n >= d").withColumn("target", F.col("n") - F.col("d"))
-    made = []
-    for i, (start, size) in enumerate(_segments(F.col("target"), threshold + 1)):
-        left, right = i, threshold - i
-        for shift in range(-left, left + 1):
-            if shift > right + threshold or shift < -right:
-                continue  # no d is within max(..) and min(..) then
-            at = start + shift
-            fits = (F.col("d") - right <= shift) & (F.lit(shift) <= F.col("d") + right) & (at >= 1) & (at + size - 1 <= F.col("n"))
-            key = F.xxhash64("context", "target", F.lit(i), F.substring(F.col("text"), at, size))
-            made.append(F.struct(F.when(fits, key).alias("key"), at.alias("at"), size.alias("size")))
-    return reach.select("id", "context", F.inline(F.array(*made))).where("key is not null")
+    places = [(d, i, s) for d in range(threshold + 1) for i in range(threshold + 1) for s in range(max(-i, d - (threshold - i)), min(i, d + (threshold - i)) + 1)]
+    return _entries(items, places, threshold + 1)
 
 
 def candidates(lines: DataFrame, threshold: int) -> DataFrame:
