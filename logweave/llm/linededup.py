@@ -27,8 +27,8 @@ _LINES = 1 << 31
 
 
 def occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line_no, line) for every line with a non-blank character. Lines end at line feeds; null texts have none."""
-    lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "line"))
+    """(id, mark, line_no, line) for every line with a non-blank character; mark stands for the text. Null texts have no lines."""
+    lines = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "line"))
     return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -168,8 +168,14 @@ def dedup_lines(df: DataFrame, threshold: int = 2, min_length: int = 20, id_col:
     linked with. Null, empty and blank texts give no rows. Rows that repeat an id and a text are one document, and each
     gets its rows. Columns besides the two named aren't read.
     """
+    got = _decisions(df, threshold, min_length, id_col, text_col)
+    return got.select(F.col("id").alias(id_col), "line_no", "copies", "class_id", "class_line", "n_links", "kept")
+
+
+def _decisions(df: DataFrame, threshold: int, min_length: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows of dedup_lines with the texts' marks."""
     classes = line_classes(df, threshold, min_length, id_col, text_col)
-    own = occurrences(df, id_col, text_col).select("id", "line_no", *_marks(F.col("line"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
+    own = occurrences(df, id_col, text_col).select("id", "mark", "line_no", *_marks(F.col("line"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
     # a line may fill a third of the table: it is met in as many salts as it occurs with
     met = own.groupBy("k1", "k2", "salt").agg(F.lit(1).alias("one")).join(classes, ["k1", "k2"]).drop("one")
     got = own.join(met, ["k1", "k2", "salt"])
@@ -177,14 +183,14 @@ def dedup_lines(df: DataFrame, threshold: int = 2, min_length: int = 20, id_col:
     class_id = F.when(document < F.lit(str(1 << 63)).cast("decimal(20,0)"), document).cast("long")
     class_line = (F.col("class_place") % F.lit(_LINES).cast("decimal(12,0)")).cast("int")
     kept = F.col("class_place") == _place(F.col("id"), F.col("line_no"))
-    return got.select(F.col("id").alias(id_col), "line_no", "copies", class_id.alias("class_id"), class_line.alias("class_line"), "n_links", kept.alias("kept"))
+    return got.select("id", "mark", "line_no", "copies", class_id.alias("class_id"), class_line.alias("class_line"), "n_links", kept.alias("kept"))
 
 
 def without_duplicates(df: DataFrame, threshold: int = 2, min_length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df with all their columns, their texts without the lines that aren't kept. Every row stays, if empty."""
-    gone = dedup_lines(df, threshold, min_length, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("id"), "line_no").distinct()
-    gone = gone.groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id")).join(gone, "id", "left")
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    gone = _decisions(df, threshold, min_length, id_col, text_col).where(~F.col("kept")).groupBy(name("id").alias("name"), "mark").agg(F.collect_set("line_no").alias("gone"))
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), name(id_col).alias("name"), F.xxhash64(text_col).alias("mark")).join(gone, ["name", "mark"], "left")
     lines = F.split(F.col(f"row.`{text_col}`"), "\n", -1)
     rest = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")
     text = F.when(F.col("gone").isNull(), F.col(f"row.`{text_col}`")).otherwise(rest)
