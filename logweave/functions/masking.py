@@ -12,7 +12,12 @@ from pyspark.sql import functions as F
 #: Word boundary over ASCII words; Java's own is Unicode-aware.
 WB = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 _X, _U, _L = r"[0-9A-Fa-f]", "[A-Z]", "[a-z]"
-_OCTET = r"(?:25[0-5]|2[0-4]?[0-9]?|1\d{0,2}|[1-9][0-9]?|0)"
+_OCTET = r"(?:25[0-5]|(?:2[0-4]|1\d|[1-9])?\d)"
+_REAL = r"\d+(?:[.]\d+)?"
+_D2, _D4 = r"\d{2}", r"\d{4}"
+_CLOCK = f"{_D2}:{_D2}:{_D2}"
+#: What a number stands between.
+LEFT, RIGHT = r"""\s#%@.:'"/(=\\""", r"""\s#%@,:'"/)\\"""
 _H = _X + "{1,4}"
 _END = r"(?![\w:])"
 
@@ -51,27 +56,29 @@ def ipv6_pattern() -> str:
     return rf"\[(?={body}\]:\d{{1,5}}{_END})[0-9A-Fa-f:]+\]:\d{{1,5}}|(?<![\w:]){body}"
 
 
-EXTENDED_DATE = Mask("extended_date", rf"{WB}(?:{_U}{_L}{{2}}\s+){{2}}\d{{2}}(?:\s+\d{{4}})?\s+\d{{2}}:\d{{2}}:\d{{2}}(?:\s+{_U}{{3}}(?:\+\d{{4}})?)?(?:\s+\d{{4}})?{WB}")
-LONG_DATE = Mask("long_date", rf"{WB}(?:{_U}{_L}{{2}}\s+){{0,2}}\d{{4}}-\d{{2}}-\d{{2}}\s+\d{{2}}:\d{{2}}:\d{{2}}(?:\s+{_U}{{3}})?{WB}")
+EXTENDED_DATE = Mask("extended_date", rf"{WB}(?:{_U}{_L}{{2}}\s+){{2}}\d{{2}}(?:\s+\d{{4}})?\s+{_CLOCK}(?:\s+{_U}{{3}}(?:\+\d{{4}})?)?(?:\s+\d{{4}})?{WB}")
+LONG_DATE = Mask("long_date", rf"{WB}(?:{_U}{_L}{{2}}\s+){{0,2}}\d{{4}}-\d{{2}}-\d{{2}}\s+{_CLOCK}(?:\s+{_U}{{3}})?{WB}")
 DATE = Mask("date", rf"{WB}\d{{2}}/\d{{2}}/\d{{2}}{WB}")
-TIME = Mask("time", rf"{WB}\d{{2}}:\d{{2}}:\d{{2}}{WB}")
+TIME = Mask("time", rf"{WB}{_CLOCK}{WB}")
 UUID = Mask("uuid", rf"{WB}\{{?{_X}{{8}}-(?:{_X}{{4}}-){{3}}{_X}{{12}}\}}?{WB}")
-LIBVIRTD = Mask("libvirtd", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d{3}\+\d{4}: \d+:")
+LIBVIRTD = Mask("libvirtd", rf"^{_D4}-{_D2}-{_D2} {_CLOCK}[.]\d{{3}}[+]{_D4}: \d+:")
 IPV6 = Mask("ipv6", ipv6_pattern())
-AUDIT = Mask("linux_kernel_audit", rf"{WB}audit\(\d+\.\d+:\d+\)", r"audit(\$v)")
-MEM_SIZE = Mask("linux_mem_size", rf"(?i){WB}\d+(?:\.\d+)?\s*[GKM]{WB}")
-DATA_SIZE = Mask("data_size", rf"(?i){WB}\d+(?:\.\d+)?\s*[MKGTP]?i?B{WB}")
-DURATION = Mask("time_duration", rf"{WB}-?\d+(?:\.\d+)?\s*(?:ms|s|seconds?){WB}")
-NETIF = Mask("linux_netif", rf"{WB}(?:(?:P\d+)?(?:en|wl|ww)(?:o\d+|x{_X}{{12}}|(?:p\d+)?s\d+(?:f\d+)?(?:d\d+)?|p\d+s\d+(?:f\d+)?(?:u\d+)*(?:c\d+)?(?:i\d+)?)|(?:eth|wlan|wwan)\d+){WB}")
+AUDIT = Mask("linux_kernel_audit", rf"{WB}audit[(]\d+[.]\d+:\d+[)]", r"audit(\$v)")
+MEM_SIZE = Mask("linux_mem_size", rf"(?i){WB}{_REAL}\s*[KMG]{WB}")
+DATA_SIZE = Mask("data_size", rf"(?i){WB}{_REAL}\s*[KMGTP]?i?B{WB}")
+DURATION = Mask("time_duration", rf"{WB}-?{_REAL}\s*(?:m?s|seconds?){WB}")
+_at = lambda letter, times="?": rf"(?:{letter}\d+){times}"
+_SLOT, _USB = _at("p") + r"s\d+" + _at("f") + _at("d"), r"p\d+s\d+" + _at("f") + _at("u", "*") + _at("c") + _at("i")
+NETIF = Mask("linux_netif", rf"{WB}(?:{_at('P')}(?:en|w[lw])(?:x{_X}{{12}}|o\d+|{_SLOT}|{_USB})|(?:eth|wlan|wwan)\d+){WB}")
 MAC = Mask("mac_address", rf"{WB}(?:{_X}{{2}}[:-]){{5}}{_X}{{2}}{WB}")
 IPV4 = Mask("ipv4_address", rf"{WB}(?:{_OCTET}\.){{3}}{_OCTET}(?::\d{{1,5}})?{WB}")
 HEX = Mask("hexadec_constant", rf"{WB}0x{_X}+{WB}")
 SQUARE = Mask("square_bracket", r"\[.*?\]", r"[\$v]")
 POINTED = Mask("pointed_bracket", r"<.*?>", r"<\$v>")
-NUMBER = Mask("number_constant", r"""(^|[\s(=/\\'"%#@:.])(-?\d+)(?=[\s)/\\'",%#@:]|$)""", r"$1\$v", 2)
+NUMBER = Mask("number_constant", rf"(^|[{LEFT}])(-?\d+)(?=[{RIGHT}]|$)", r"$1\$v", 2)
 #: Extraction gives an empty string per match: the values it names don't exist in the pattern.
 AGGRESSIVE_NUMBER = Mask("aggressive_number_constant", rf"{WB}-?\d+{WB}", r"\$v", -1)
-SEPARATION = Mask("separation_inserter", r"""([:,.=/\\"'])([A-Za-z0-9])""", "$1 $2", 0)
+SEPARATION = Mask("separation_inserter", r"""([.,:=/'"\\])([A-Za-z0-9])""", "$1 $2", 0)
 
 MASKS = {m.name: m for m in (EXTENDED_DATE, LONG_DATE, DATE, TIME, UUID, LIBVIRTD, IPV6, AUDIT, MEM_SIZE, DATA_SIZE, DURATION, NETIF, MAC, IPV4, HEX, SQUARE, POINTED, NUMBER, AGGRESSIVE_NUMBER, SEPARATION)}
 

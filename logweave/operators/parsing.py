@@ -73,7 +73,7 @@ def log_host(text: pd.Series) -> pd.DataFrame:
 
 def host_kind(text: Column) -> Column:
     """The kind alone, natively, for dotted quads and names; what has two colons is taken for IPv6."""
-    octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+    octet = r"(?:(?:2[0-4]|1\d|[1-9])?\d|25[0-5])"
     return F.when(text.rlike(rf"^(?:{octet}\.){{3}}{octet}$"), "ipv4").when(text.rlike(r"^[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*$"), "ipv6").otherwise("name")
 
 

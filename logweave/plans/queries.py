@@ -74,7 +74,7 @@ _add(
 )
 _add(
     "parse_syslog_ignore",
-    _over(lambda d: parsing.parse_lines(d.select("event_id", "value"), "${IGNORE} ${IGNORE} ${IGNORE} ${IGNORE} ${MESSAGE}").select("event_id", parsing.full_message(F.col("process"), F.col("pid"), F.col("message")).alias("full"), parsing.tagged_message(F.col("process"), F.col("message")).alias("tagged"))),
+    _over(lambda d: parsing.parse_lines(d.select("event_id", "value"), "${IGNORE} " * 4 + "${MESSAGE}").select("event_id", parsing.full_message(F.col("process"), F.col("pid"), F.col("message")).alias("full"), parsing.tagged_message(F.col("process"), F.col("message")).alias("tagged"))),
     f"{_V} SELECT event_id, 'svc-' || event_type || '[' || user_id || ']: ' || msg AS \"full\", 'svc-' || event_type || ': ' || msg AS tagged FROM l",
 )
 _SPLIT = "concat(CASE event_id % 6 WHEN 0 THEN 'proc[12]: a' WHEN 1 THEN 'proc: b' WHEN 2 THEN 'proc[]: c' WHEN 3 THEN 'nocolon' WHEN 4 THEN ': d' ELSE 'p[x]: e' END, ' ', event_type)"
@@ -110,7 +110,7 @@ def _re2(mask: masking.Mask) -> str:
 
 def _mask_sql(mask: masking.Mask, text: str) -> str:
     if mask.name == "number_constant":  # the right-hand delimiter is consumed, so neighbours take two passes
-        p = r"""(^|[\s(=/\\''"%#@:.])(-?\d+)([\s)/\\''",%#@:]|$)"""
+        p = rf"(^|[{masking.LEFT}])(-?\d+)([{masking.RIGHT}]|$)".replace("'", "''")
         once = f"regexp_replace({text}, '{p}', '\\1$v\\3', 'g')"
         return f"regexp_replace({once}, '{p}', '\\1$v\\3', 'g')"
     to = mask.replacement.replace(r"\$", "$") if mask.name != "separation_inserter" else r"\1 \2"
