@@ -1,7 +1,7 @@
 """Content-defined chunking of media payloads: gear-hash cuts, a deduplicated chunk store, verified reassembly.
 
 A payload is stored as the samples of an 8-bit mono WAV file. The file is cut where a rolling gear hash says so, and each
-distinct chunk is kept once, compressed, in pack files in the shared folder. A medium is an ordered list of chunk
+distinct chunk is kept compressed in pack files in the shared folder, and referred to in one place only. A medium is an ordered list of chunk
 digests; joins on digests find where each chunk lies, and the bytes are never shuffled: tasks write packs, and read them
 back by position.
 """
@@ -111,25 +111,27 @@ class _Packs:
         return self.files[name].read_at(size, at)
 
 
+_PLACES = "digest binary, pack string, at long, size int"
 _PIECES = "home int, row long, doc_id long, n_bytes long, seq int, digest binary, pack string, at long, size int"
 
 
-def store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", multiple: int = 64) -> DataFrame:
+def store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", multiple: int = 64, max_unused: float = 0.1) -> DataFrame:
     """Store each row's text in `folder` as chunks; returns the recipes: a row per chunk of each medium with its pack, place and digest.
 
     A text is UTF-8, filled up with zero bytes to a positive multiple of `multiple` (null: empty). First each task packs
-    what its own chunks are and haven't been in the task yet; of the copies that several tasks made, a join picks one;
-    then the packs are rewritten with the picked ones alone, so every distinct chunk lies in the store once.
+    those of its chunks that it hasn't packed yet; of the copies that several tasks made, a join picks one, and recipes
+    refer to that alone. A pack of which more than `max_unused` isn't referred to is then rewritten with what is, and
+    deleted.
     """
     spark = df.sparkSession
-    staging, final, tables = f"{folder}/staging", f"{folder}/packs", f"{folder}/tables"
-    for d in (staging, final):
-        fsys, inner = _open(d)
+    tables = f"{folder}/tables"
+    for d in ("first", "compact"):
+        fsys, inner = _open(f"{folder}/{d}")
         fsys.create_dir(inner, recursive=True)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        packer, seen, number, z = _Packer(staging, f"{task:06d}"), {}, 0, zstandard.ZstdCompressor(level=3)
+        packer, seen, number, z = _Packer(folder, f"first/{task:06d}"), {}, 0, zstandard.ZstdCompressor(level=3)
         for part in byte_slices(batches, "text"):
             rows: list[tuple] = []
             for doc, text in zip(part.column("id").to_pylist(), filled(part.column("text")).to_pylist()):
@@ -153,20 +155,35 @@ def store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "t
     pieces = spark.read.schema(_PIECES).parquet(pieces_at)
     chosen = pieces.groupBy("digest").agg(F.min(F.struct("pack", "at", "size")).alias("p")).select("digest", "p.*")
 
+    chosen_at = f"{tables}/chosen"
+    chosen.write.parquet(chosen_at)
+    chosen = spark.read.schema(_PLACES).parquet(chosen_at)
+    held = pieces.select("pack", "at", "size").distinct().groupBy("pack").agg(F.sum("size").alias("held"))
+    used = chosen.groupBy("pack").agg(F.sum("size").alias("used"))
+    wasteful_at = f"{tables}/wasteful"
+    held.join(used, "pack", "left").where(F.coalesce("used", F.lit(0)) < (1 - max_unused) * F.col("held")).select("pack").write.parquet(wasteful_at)
+    wasteful = spark.read.schema("pack string").parquet(wasteful_at)
+
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        packs, packer = _Packs(staging), _Packer(final, f"{task:06d}")
+        packs, packer = _Packs(folder), _Packer(folder, f"compact/{task:06d}")
         for b in batches:
             got = [packer.add(packs.read(p, a, s)) for p, a, s in zip(*(b.column(c).to_pylist() for c in ("pack", "at", "size")))]
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), b.column("size")], names=["digest", "pack", "at", "size"])
         packer.close()
 
-    index_at = f"{tables}/index"
-    ordered = chosen.repartition("pack").sortWithinPartitions("pack", "at")
-    ordered.mapInArrow(rewrite, "digest binary, pack string, at long, size int").write.parquet(index_at)
-    fsys, inner = _open(staging)
-    fsys.delete_dir(inner)
-    index = spark.read.schema("digest binary, pack string, at long, size int").parquet(index_at)
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fsys, root = _open(folder)
+        for b in batches:
+            for pack in b.column("pack").to_pylist():
+                if fsys.get_file_info(f"{root}/{pack}").type == fs.FileType.File:
+                    fsys.delete_file(f"{root}/{pack}")
+            yield b
+
+    moved = chosen.join(wasteful, "pack", "left_semi").select("digest", "pack", "at", "size").repartition("pack").sortWithinPartitions("pack", "at")
+    moved.mapInArrow(rewrite, _PLACES).write.parquet(f"{tables}/moved")
+    wasteful.mapInArrow(delete, "pack string").write.format("noop").mode("overwrite").save()
+    index = chosen.join(wasteful, "pack", "left_anti").select("digest", "pack", "at", "size").union(spark.read.schema(_PLACES).parquet(f"{tables}/moved"))
     # salted: copies of one chunk may be a third of all pieces, and each digest meets only the salts that it occurs with
     salted = pieces.drop("pack", "at", "size").withColumn("salt", F.pmod(F.xxhash64("home", "row"), F.lit(16)).cast("int"))
     salts = salted.groupBy("digest", "salt").agg(F.count("*").alias("n"))
@@ -194,13 +211,12 @@ def load(recipes: DataFrame, folder: str) -> DataFrame:
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, chunks, feature. A chunk whose
     digest doesn't hold fails the task.
     """
-    packs_at = f"{folder}/packs"
     one = recipes.repartition("home").groupBy("home", "row", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "pack", "at", "size"))).alias("chunks"))
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "chunks", "feature"]
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, chunks long, feature string"
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packs, z = _Packs(packs_at), zstandard.ZstdDecompressor()
+        packs, z = _Packs(folder), zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
             for k in range(b.num_rows):

@@ -202,7 +202,7 @@ def test_secrets(spark, docs, data, tmp_path):
     assert secrets.scan_documents(docs.limit(0)).count() == 0
 
 
-def test_media(docs, data):
+def test_media(docs, data, tmp_path):
     def want(i, t):
         raw = (t or "").encode()
         p = raw + bytes(-len(raw) % 64 if raw else 64)
@@ -212,6 +212,11 @@ def test_media(docs, data):
     got = media.round_trip(docs)
     assert by_row(got, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature") == Counter(want(i, x) for i, x, *_ in data)
     assert media.round_trip(docs.limit(0)).count() == 0
+    recipes = media.store(docs, folder := str(tmp_path / "store"), max_unused=0.0)  # every pack with a copy is rewritten
+    again = by_row(media.load(recipes, folder), "doc_id", "payload_sha256", "media_sha256")
+    assert again == by_row(got, "doc_id", "payload_sha256", "media_sha256")
+    held = sum(p.stat().st_size for d in ("first", "compact") for p in (tmp_path / "store" / d).glob("*.pack"))
+    assert held == sum(r.size for r in recipes.select("digest", "size").distinct().collect())
 
 
 def test_chunks():
