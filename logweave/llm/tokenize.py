@@ -57,6 +57,13 @@ class UnitEncoder:
         self._flat, self._used, self._units = np.zeros(4096, np.uint32), 0, 0
         if self.end_id is not None:
             self._append([[self.end_id]])
+        self._lasting = self._units, self._used
+
+    def _make_room(self) -> None:
+        """Only between slices: the unit numbers of a slice are in use until its ids are read."""
+        self._units, self._used = self._lasting
+        if self._units > MEMO_UNITS or self._used > MEMO_IDS:
+            self._clear()
 
     def _append(self, ids: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -83,12 +90,19 @@ class UnitEncoder:
                 self._append(self._library(part))
                 self._index.update(zip(part, range(first, first + len(part))))
             found = np.fromiter((self._index[u] for u in units), np.int64, len(units))
+            self._lasting = self._units, self._used
         return found
 
+    def _look_up_once(self, texts: list[str]) -> np.ndarray:
+        """As _look_up, but what is new here goes when the slice is done."""
+        first, places = self._units, {t: k for k, t in enumerate(dict.fromkeys(texts))}
+        distinct = list(places)
+        for k in range(0, len(distinct), 4096):
+            self._append(self._library(distinct[k : k + 4096]))
+        return first + np.fromiter((places[t] for t in texts), np.int64, len(texts))
+
     def _units_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(unit numbers of all texts in a row, offsets by text)."""
-        if self._units > MEMO_UNITS or self._used > MEMO_IDS:
-            self._clear()
+        """(unit numbers of all texts in a row, offsets by text), good until _make_room."""
         if self.plan == "whole":
             return self._look_up(texts.to_pylist()), np.arange(len(texts) + 1)
         if self.plan == "words":
@@ -97,8 +111,8 @@ class UnitEncoder:
             return self._look_up(words.dictionary.to_pylist())[words.indices.to_numpy()], parts.offsets.to_numpy().astype(np.int64)
         unsafe = pc.or_(pc.match_substring(texts, "  "), pc.ends_with(texts, " ")).to_numpy(zero_copy_only=False)
         if unsafe.any():
-            whole = self._look_up(pc.filter(texts, pa.array(unsafe)).to_pylist())
             rest, offsets = self._units_of(pc.filter(texts, pa.array(~unsafe))) if not unsafe.all() else (np.zeros(0, np.int64), np.zeros(1, np.int64))
+            whole = self._look_up_once(pc.filter(texts, pa.array(unsafe)).to_pylist())
             sizes = np.ones(len(texts), np.int64)
             sizes[~unsafe] = np.diff(offsets)
             ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -118,6 +132,7 @@ class UnitEncoder:
         """Tokens of each text (no nulls)."""
         if len(texts) == 0:
             return np.zeros(0, np.int64)
+        self._make_room()
         numbers, offsets = self._units_of(texts)
         return segment_sums(self._lengths[numbers], offsets)
 
@@ -125,6 +140,7 @@ class UnitEncoder:
         """(uint32 ids of all texts in a row, offsets by text), end_id after each text if it is set."""
         if len(texts) == 0:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self._make_room()
         numbers, offsets = self._units_of(texts)
         if self.end_id is not None:
             numbers = np.insert(numbers, offsets[1:], 0)

@@ -68,6 +68,23 @@ def test_units_are_those_of_the_whole_text():
         assert enc.counts(pa.array(texts)).tolist() == [offsets[k + 1] - offsets[k] - (end is not None) for k in range(len(texts))]
 
 
+def test_a_small_memo_changes_no_ids(monkeypatch):
+    """The bound is crossed between the texts of a slice that are looked up whole and those that are cut."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenize, "MEMO_IDS", 300)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9)))
+    for path, end in ((BYTES, 0), (BYTES, None), (WORDS, None)):
+        t, enc = Tokenizer.from_file(path), tokenize.UnitEncoder(path, end)
+        for _ in range(12):
+            texts = [rng.choice([" ", "  "]).join(word() for _ in range(rng.randrange(1, 60))) + rng.choice(["", " "]) for _ in range(12)]
+            want = [t.encode(x, add_special_tokens=False).ids + [0] * (end is not None) for x in texts]
+            ids, offsets = enc.ids(pa.array(texts))
+            assert [ids[offsets[k] : offsets[k + 1]].tolist() for k in range(len(texts))] == want
+            assert enc.counts(pa.array(texts)).tolist() == [len(x) - (end is not None) for x in want]
+
+
 def check_packing(pieces, ids_of):
     seqs = {}
     for doc, start, length, crc, total, seq, offset in pieces:
