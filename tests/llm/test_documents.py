@@ -287,6 +287,19 @@ def test_quality_rules(spark, docs, data):
     assert odd.count() == len(data)
 
 
+def test_quality_rules_find_what_good_rows_lack(spark):
+    """Bad rows that differ in symbols only, of which no good row has any, and pass the base rules."""
+    rng = random.Random(9)
+    words = [a + b for a in ("the", "a", "river", "runs", "home", "light", "of") for b in "abcdefgh"]
+    text = lambda bad: ". ".join(" ".join(rng.choice(words) for _ in range(9)).capitalize() for _ in range(9)) + bad * " |||# &&*<" * 6
+    df = spark.createDataFrame([(i, text(i % 8 == 0)) for i in range(800)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 8 > 0)) for i in range(400)], "doc_id long, quality int")
+    got = quality_rules.apply(df, quality_rules.fit(df, labels)).collect()
+    unseen = [r for r in got if r.doc_id >= 400]
+    assert not any(r.base_failed for r in got) and all(r.n_symbols > 0 for r in got if r.doc_id % 8 == 0)
+    assert sum(r.kept for r in unseen if r.doc_id % 8) >= 0.97 * 350 and sum(r.kept for r in unseen if r.doc_id % 8 == 0) <= 2
+
+
 def test_isolation_forest():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(500, 3)), [[9, 9, 9]]])
