@@ -6,6 +6,9 @@ unchanged, close to its place. Segments go into an index keyed by line length, s
 probes the lengths within reach with the few substrings that could be the segment there; what meets is verified with a
 bit-parallel automaton over the band of 2 * threshold + 1 diagonals.
 
+Longer lines may have thresholds of their own, by classes of length. In a class, segments have one size and number for
+all lengths, so that a probe is looked for once and not once for each length within reach.
+
 A segment that very many lines hold would give all pairs of them. Such keys are never expanded: the rest of the line
 around the segment takes part in another round under that key, with segments of its own, and so on.
 """
@@ -73,12 +76,30 @@ def _probes(items: DataFrame, threshold: int) -> DataFrame:
     return _entries(items, places, threshold + 1)
 
 
-def candidates(lines: DataFrame, threshold: int) -> DataFrame:
-    """Distinct (a, b), a < b, of lines (id, line, n) that may be within `threshold` edits; none within reach is missing."""
+def _class_entries(items: DataFrame, places: list[tuple[int, int]], size: int) -> DataFrame:
+    """As _entries for the (i, shift) of places, with segments of `size` from the start of each line on."""
+    each = items.select("id", "context", "text", "n", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(i * size + s + 1).alias("at")) for i, s in places])))
+    placed = each.where(f"at + {size} - 1 <= n").withColumn("size", F.lit(size))
+    return placed.select("id", "context", F.xxhash64("context", "i", F.expr("substring(text, at, size)")).alias("key"), "at", "size")
+
+
+def candidates(lines: DataFrame, threshold: int, least: int | None = None) -> DataFrame:
+    """Distinct (a, b), a < b, of lines (id, line, n) that may be within `threshold` edits; none within reach is missing.
+
+    With `least`, all lines have as many code points at least, and threshold + 1 segments of one size in their first
+    `least`. If i is the first segment up to whose end there are at most i edits, it has none, and i before it; so it lies
+    within i places of its own.
+    """
     indexed = probing = lines.select("id", F.lit(0).cast("long").alias("context"), F.col("line").alias("text"), "n")
     found = None
     for level in range(REFINEMENTS + 1):
-        index, probes = _index(indexed, threshold), _probes(probing, threshold)
+        if least is None:
+            index, probes = _index(indexed, threshold), _probes(probing, threshold)
+        else:
+            size = least // (threshold + 1)
+            index = _class_entries(indexed, [(i, 0) for i in range(threshold + 1)], size)
+            probes = _class_entries(probing, [(i, s) for i in range(threshold + 1) for s in range(-min(i, i * size), i + 1)], size)
+            least -= size
         n_hot = 0
         if level < REFINEMENTS:
             hot = materialize(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > KEY_LINES).select("key"), "hot-keys")
@@ -140,18 +161,36 @@ def within(pairs: DataFrame, threshold: int, a: str = "line_a", b: str = "line_b
     return rest.withColumn("_end", last).where(reached).select(*others, a, b)
 
 
-def line_classes(df: DataFrame, threshold: int = 2, min_length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _links(lines: DataFrame, threshold: int, longer: tuple[tuple[int, int], ...]) -> DataFrame:
+    """Distinct (a, b), a < b, of lines (id, line, n) within the edits that the shorter one's length allows."""
+    found, starts = None, [0, *[n for n, _ in longer], None]
+    for k, edits in enumerate([threshold, *[e for _, e in longer]]):
+        low, high = starts[k], starts[k + 1]
+        # the shorter line is in the class, the longer one may lie beyond it
+        own = lines.where((F.col("n") >= low) & (F.lit(True) if high is None else F.col("n") < high + edits))
+        pairs = materialize(candidates(own, edits, low or None), "line-pairs")
+        both = pairs.join(own.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b").join(own.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
+        shorter = F.least(F.length("line_a"), F.length("line_b"))
+        both = both if high is None else both.where(shorter < high)
+        if low:
+            close = both.where(F.abs(F.length("line_a") - F.length("line_b")) <= edits).where(F.levenshtein("line_a", "line_b", edits) >= 0)
+        else:
+            close = within(both, edits)
+        found = close.select("a", "b") if found is None else found.union(close.select("a", "b"))
+    return found
+
+
+def line_classes(df: DataFrame, threshold: int = 2, min_length: int = 20, id_col: str = "doc_id", text_col: str = "text", longer: tuple[tuple[int, int], ...] = ()) -> DataFrame:
     """(k1, k2, place, copies, class_place, n_links) for each distinct non-blank line of df.
 
     place is where the line occurs first and class_place where its class does; n_links counts the different lines that it
     is linked with. Lines shorter than min_length are linked with nothing, as a few edits make any of them another.
+    longer: ascending (length, edits); pairs whose shorter line is as long at least may be as many edits apart.
     """
     seen = occurrences(df, id_col, text_col).select("line", _place(F.col("id"), F.col("line_no")).alias("place"))
     lines = materialize(seen.groupBy("line").agg(F.min("place").alias("place"), F.count("*").alias("copies")).withColumn("id", F.monotonically_increasing_id()), "lines")
     long_ = lines.select("id", "line", F.length("line").alias("n")).where(F.col("n") >= min_length)
-    pairs = materialize(candidates(long_, threshold), "line-pairs")
-    both = pairs.join(long_.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b").join(long_.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a")
-    links = materialize(within(both, threshold).select("a", "b"), "line-links")
+    links = materialize(_links(long_, threshold, longer), "line-links")
     ends = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node")))
     known = connected_components(links, "a", "b").join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node")
     placed = known.join(lines.select(F.col("id").alias("node"), "place"), "node")
@@ -160,7 +199,7 @@ def line_classes(df: DataFrame, threshold: int = 2, min_length: int = 20, id_col
     return lines.join(linked, "id", "left").select(*_marks(F.col("line")), "place", "copies", F.coalesce("class_place", "place").alias("class_place"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
-def dedup_lines(df: DataFrame, threshold: int = 2, min_length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, threshold: int = 2, min_length: int = 20, id_col: str = "doc_id", text_col: str = "text", longer: tuple[tuple[int, int], ...] = ()) -> DataFrame:
     """One row per non-blank line of each row of df: id, line_no, copies, class_id, class_line, n_links, kept.
 
     class_id and class_line are the document and line where the line's class occurs first, in order of id (null last) and
@@ -168,13 +207,13 @@ def dedup_lines(df: DataFrame, threshold: int = 2, min_length: int = 20, id_col:
     linked with. Null, empty and blank texts give no rows. Rows that repeat an id and a text are one document, and each
     gets its rows. Columns besides the two named aren't read.
     """
-    got = _decisions(df, threshold, min_length, id_col, text_col)
+    got = _decisions(df, threshold, min_length, id_col, text_col, longer)
     return got.select(F.col("id").alias(id_col), "line_no", "copies", "class_id", "class_line", "n_links", "kept")
 
 
-def _decisions(df: DataFrame, threshold: int, min_length: int, id_col: str, text_col: str) -> DataFrame:
+def _decisions(df: DataFrame, threshold: int, min_length: int, id_col: str, text_col: str, longer: tuple[tuple[int, int], ...]) -> DataFrame:
     """The rows of dedup_lines with the texts' marks."""
-    classes = line_classes(df, threshold, min_length, id_col, text_col)
+    classes = line_classes(df, threshold, min_length, id_col, text_col, longer)
     own = occurrences(df, id_col, text_col).select("id", "mark", "line_no", *_marks(F.col("line"))).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int"))
     # a line may fill a third of the table: it is met in as many salts as it occurs with
     met = own.groupBy("k1", "k2", "salt").agg(F.lit(1).alias("one")).join(classes, ["k1", "k2"]).drop("one")
@@ -186,10 +225,10 @@ def _decisions(df: DataFrame, threshold: int, min_length: int, id_col: str, text
     return got.select("id", "mark", "line_no", "copies", class_id.alias("class_id"), class_line.alias("class_line"), "n_links", kept.alias("kept"))
 
 
-def without_duplicates(df: DataFrame, threshold: int = 2, min_length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_duplicates(df: DataFrame, threshold: int = 2, min_length: int = 20, id_col: str = "doc_id", text_col: str = "text", longer: tuple[tuple[int, int], ...] = ()) -> DataFrame:
     """The rows of df with all their columns, their texts without the lines that aren't kept. Every row stays, if empty."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
-    gone = _decisions(df, threshold, min_length, id_col, text_col).where(~F.col("kept")).groupBy(name("id").alias("name"), "mark").agg(F.collect_set("line_no").alias("gone"))
+    gone = _decisions(df, threshold, min_length, id_col, text_col, longer).where(~F.col("kept")).groupBy(name("id").alias("name"), "mark").agg(F.collect_set("line_no").alias("gone"))
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), name(id_col).alias("name"), F.xxhash64(text_col).alias("mark")).join(gone, ["name", "mark"], "left")
     lines = F.split(F.col(f"row.`{text_col}`"), "\n", -1)
     rest = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")

@@ -384,6 +384,31 @@ def test_line_dedup(spark, monkeypatch, key_lines):
         assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("key_lines", [64, 3])
+def test_long_lines_may_differ_by_more(spark, monkeypatch, key_lines):
+    """Against brute force, around the edits allowed and around the lengths where classes begin."""
+    from logweave.llm import queries
+
+    monkeypatch.setattr(linededup, "KEY_LINES", key_lines)
+    monkeypatch.setattr(linededup, "REFINEMENTS", 2)
+    rng = random.Random(12)
+    lines = []
+    for n, e in ((150, 3), (250, 5), (412, 8)):
+        base = "".join(rng.choice("abcdé ") for _ in range(n)) + "x"
+        for _ in range(7):
+            s = base
+            for _ in range(rng.randrange(e + 3)):
+                k = rng.randrange(len(s))
+                s = rng.choice([s[:k] + s[k + 1 :], s[:k] + "z" + s[k:], s[:k] + "y" + s[k + 1 :]])
+            lines.append(s)
+    limit = lambda n: max([queries.LINE_EDITS, *[e for least, e in queries.LONGER_LINES if n >= least]])
+    links = Counter(x for a in lines for x in {a} for b in set(lines) if a != b and edits(a, b) <= limit(min(len(a), len(b))))
+    assert max(links.values()) > 2
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = linededup.dedup_lines(df, queries.LINE_EDITS, queries.LINE_LENGTH, longer=queries.LONGER_LINES)
+    assert {r.doc_id: r.n_links for r in got.collect()} == {k: links[x] // lines.count(x) for k, x in enumerate(lines)}
+
+
 def test_warc(spark):
     pages = [(1, "http://a/ b", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e\r\nX: y", "z" * 300_000), (None, "n", "<p>é</p>"), (2, "http://twice", "<p>é</p>"), (6, "u", "only")]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, digest string")
