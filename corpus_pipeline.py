@@ -25,7 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that occur before, in the same or another document, equal or within a few edits."""
-    return _sized(linededup.without_duplicates(docs, queries.LINE_EDITS, queries.LINE_LENGTH, longer=queries.LONGER_LINES))
+    return _sized(linededup.without_duplicates(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,40 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from logweave.operators.graph import shared_path, shuffles_removed
+
 #: Arrow slices handed to numpy kernels hold about this many bytes of text, whatever the number of rows.
 SLICE_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="logweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/logweave/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors cost nothing."""
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, and lost executors cost nothing.
+
+    What the write shuffled is removed with it, as nothing reads it again.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    with shuffles_removed(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

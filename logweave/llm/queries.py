@@ -23,14 +23,8 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Edits within which lines are duplicates, and the code points from which on a line can have any but equal ones.
-LINE_EDITS, LINE_LENGTH = 2, 20
-#: For longer lines, the edits from so many code points on: about 2 %.
-LONGER_LINES = ((150, 3), (250, 5), (400, 8), (650, 13), (1000, 20))
-
-
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup_lines(_documents(spark, sf_dir), LINE_EDITS, LINE_LENGTH, longer=LONGER_LINES)
+    return linededup.dedup_lines(_documents(spark, sf_dir))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

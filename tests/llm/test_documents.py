@@ -348,18 +348,20 @@ def line_rows():
     return docs + [(20, None), (21, ""), (22, "\n \n"), (None, docs[0][1]), (3, docs[3][1]), (23, "a long line about item number 1"), (24, "a long line about item number 2")]
 
 
-def brute_lines(rows, threshold, least):
-    place = {}
+def brute_lines(rows):
+    place, copies = {}, Counter()
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             if WORD.search(line):
                 at = ((1 << 63) if i is None else i, k)
                 place[line] = min(place.get(line, at), at)
+                copies[line] += 1
     lines = list(place)
     label, links = {x: x for x in lines}, Counter()
     for a in lines:
         for b in lines:
-            if a < b and min(len(a), len(b)) >= least and abs(len(a) - len(b)) <= threshold and edits(a, b) <= threshold:
+            limit = linededup.edits_of(min(len(a), len(b)))
+            if a < b and abs(len(a) - len(b)) <= limit and edits(a, b) <= limit:
                 links[a] += 1
                 links[b] += 1
                 x, y = label[a], label[b]
@@ -367,46 +369,74 @@ def brute_lines(rows, threshold, least):
     first = {}
     for x in lines:
         first[label[x]] = min(first.get(label[x], place[x]), place[x])
-    return Counter((i, k, first[label[line]][1], links[line], first[label[line]] == (((1 << 63) if i is None else i), k)) for i, t in rows for k, line in enumerate((t or "").split("\n")) if WORD.search(line))
+    own = lambda i: (1 << 63) if i is None else i
+    return Counter((i, k, copies[x], None if first[label[x]][0] == 1 << 63 else first[label[x]][0], first[label[x]][1], links[x], first[label[x]] == (own(i), k)) for i, t in rows for k, x in enumerate((t or "").split("\n")) if WORD.search(x))
 
 
-@pytest.mark.parametrize("key_lines", [64, 4])
+LINE_COLUMNS = ("doc_id", "line_no", "copies", "class_id", "class_line", "n_links", "kept")
+
+
+@pytest.mark.parametrize("key_lines", [4096, 3])
 def test_line_dedup(spark, monkeypatch, key_lines):
-    monkeypatch.setattr(linededup, "KEY_LINES", key_lines)  # 4: most keys are refined
-    monkeypatch.setattr(linededup, "REFINEMENTS", 2)
-    data = line_rows()
+    monkeypatch.setattr(linededup, "KEY_LINES", key_lines)  # 3: most keys are refined
+    monkeypatch.setattr(linededup, "BLOCK_LINES", 2)
+    data = line_rows() + [(-7, "a line of a document whose id is negative\nand another of it"), (-9, "x\na line of a document whose id is negativ")]
     df = spark.createDataFrame([(i, t, "clash") for i, t in data], "doc_id long, text string, line string")
-    got = linededup.dedup_lines(df, 2, 20)
-    assert by_row(got, "doc_id", "line_no", "class_line", "n_links", "kept") == brute_lines(data, 2, 20)
-    if key_lines == 64:
-        kept = linededup.without_duplicates(df, 2, 20)
+    assert by_row(linededup.dedup_lines(df), *LINE_COLUMNS) == brute_lines(data)
+    if key_lines == 4096:
+        kept = linededup.without_duplicates(df)
         assert kept.columns == df.columns and kept.count() == len(data)
-        assert linededup.dedup_lines(df.limit(0)).count() == 0
+        assert linededup.dedup_lines(df.limit(0)).count() == linededup.without_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("key_lines", [64, 3])
-def test_long_lines_may_differ_by_more(spark, monkeypatch, key_lines):
-    """Against brute force, around the edits allowed and around the lengths where classes begin."""
-    from logweave.llm import queries
+def changed(rng, s, times):
+    for _ in range(times):
+        k = rng.randrange(len(s))
+        s = rng.choice([s[:k] + s[k + 1 :], s[:k] + "z中𝄞"[rng.randrange(3)] + s[k:], s[:k] + "y" + s[k + 1 :]])
+    return s
 
+
+@pytest.mark.parametrize("key_lines", [4096, 3])
+def test_long_lines_may_differ_by_more(spark, monkeypatch, key_lines):
+    """Around the edits allowed and around the lengths where they change."""
     monkeypatch.setattr(linededup, "KEY_LINES", key_lines)
-    monkeypatch.setattr(linededup, "REFINEMENTS", 2)
     rng = random.Random(12)
     lines = []
-    for n, e in ((150, 3), (250, 5), (412, 8)):
+    for n, e in ((10, 1), (20, 2), (150, 3), (250, 5), (412, 8)):
         base = "".join(rng.choice("abcdé ") for _ in range(n)) + "x"
-        for _ in range(7):
-            s = base
-            for _ in range(rng.randrange(e + 3)):
-                k = rng.randrange(len(s))
-                s = rng.choice([s[:k] + s[k + 1 :], s[:k] + "z" + s[k:], s[:k] + "y" + s[k + 1 :]])
-            lines.append(s)
-    limit = lambda n: max([queries.LINE_EDITS, *[e for least, e in queries.LONGER_LINES if n >= least]])
-    links = Counter(x for a in lines for x in {a} for b in set(lines) if a != b and edits(a, b) <= limit(min(len(a), len(b))))
-    assert max(links.values()) > 2
-    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    got = linededup.dedup_lines(df, queries.LINE_EDITS, queries.LINE_LENGTH, longer=queries.LONGER_LINES)
-    assert {r.doc_id: r.n_links for r in got.collect()} == {k: links[x] // lines.count(x) for k, x in enumerate(lines)}
+        lines += [changed(rng, base, rng.randrange(e + 3)) for _ in range(7)]
+    data = list(enumerate(lines))
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    want = brute_lines(data)
+    assert max(links for *_, links, _ in want) > 2
+    assert by_row(linededup.dedup_lines(df), *LINE_COLUMNS) == want
+
+
+def test_very_long_lines_and_hot_keys(spark, monkeypatch):
+    """Lines of 50,000 code points, and one substring that 300 lines hold."""
+    monkeypatch.setattr(linededup, "KEY_LINES", 64)
+    rng = random.Random(13)
+    long_ = "".join(rng.choice("abcdefé ") for _ in range(50_000))
+    lines = [long_, changed(rng, long_, 20), changed(rng, long_, 40), long_[:49_000]]
+    lines += [f"the same beginning of very many lines, number {k * 7919 % 100_003:06d}" for k in range(300)]
+    data = list(enumerate(lines))
+    got = {r.doc_id: r.n_links for r in linededup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    want = Counter(k for k, a in data[4:] for j, b in data[4:] if k != j and edits(a[-6:], b[-6:]) <= 2)
+    assert got == {0: 1, 1: 1, 2: 0, 3: 0} | {k: want[k] for k, _ in data[4:]}
+
+
+def test_places_meet_whatever_the_edits():
+    """For each way in which edits may move a segment, two lines have a place in common."""
+    for e in (1, 2, 3, 5, 8, 13, 20):
+        for size in (1, 3, 47):
+            at = linededup.places(e, size)
+            for left, count in ((True, e // 2 + 1), (False, (e + 1) // 2)):
+                for i in range(count):
+                    own = [(off, width, does) for slot, side, off, width, does in at if side == left and slot == 2 * i + (not left)]
+                    assert len({width for _, width, _ in own}) == 1 and own[0][1] > 0
+                    met = {b - a for a, _, x in own if x & 1 for b, _, y in own if y & 2}
+                    assert set(range(-i, i + 1)) <= met
+                    assert all(i * size <= a and a + width <= (i + 1) * size for a, width, x in own if x & 1)
 
 
 def test_warc(spark):

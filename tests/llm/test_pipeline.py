@@ -6,7 +6,7 @@ import pytest
 from test_documents import BYTES, WORD, brute_components, brute_lines, check_packing, labelled, line_rows
 
 import corpus_pipeline
-from logweave.llm import classifier, queries
+from logweave.llm import classifier
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +37,7 @@ def test_stages(spark, sf_dir):
             assert Counter(r.doc_id for r in after) == Counter(r.doc_id for r in before if r.doc_id in good)
             assert 0 < len(after) < len(before)
         elif name == "line dedup":
-            dropped = {(i, k) for i, k, _, _, kept in brute_lines([(r.doc_id, r.text) for r in before], queries.LINE_EDITS, queries.LINE_LENGTH) if not kept}
+            dropped = {(i, k) for i, k, *_, kept in brute_lines([(r.doc_id, r.text) for r in before]) if not kept}
             want = Counter((r.doc_id, None if r.text is None else "\n".join(x for k, x in enumerate(r.text.split("\n")) if (r.doc_id, k) not in dropped)) for r in before)
             assert Counter((r.doc_id, r.text) for r in after) == want and dropped
             assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in after)
