@@ -34,6 +34,15 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put(fsys, temp: str, final: str) -> None:
+    """Give a whole file its name, in place of what an attempt that was lost may have left under it."""
+    try:
+        fsys.move(temp, final)
+    except OSError:  # some file systems don't move onto a file
+        fsys.delete_file(final)
+        fsys.move(temp, final)
+
+
 def text_bytes(column: pa.Array) -> np.ndarray:
     """UTF-8 length of each value, nulls 0."""
     import pyarrow.compute as pc

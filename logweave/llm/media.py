@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import byte_slices, filled, scratch_path
+from logweave.llm.common import byte_slices, filled, put, scratch_path
 
 #: Chunk sizes: none under MIN but the last, a cut expected MEAN bytes after it, none over MAX.
 MIN, MEAN, MAX = 1024, 4096, 32768
@@ -92,7 +92,7 @@ class _Packer:
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fsys.move(self.temp, f"{self.root}/{self.name}")
+            put(self.fsys, self.temp, f"{self.root}/{self.name}")
             self.out, self.made = None, self.made + 1
 
 
@@ -118,7 +118,8 @@ _PIECES = "home int, row long, doc_id long, n_bytes long, seq int, digest binary
 def store(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", multiple: int = 64, max_unused: float = 0.1) -> DataFrame:
     """Store each row's text in `folder` as chunks; returns the recipes: a row per chunk of each medium with its pack, place and digest.
 
-    A text is UTF-8, filled up with zero bytes to a positive multiple of `multiple` (null: empty). First each task packs
+    A text is UTF-8, filled up with zero bytes to a positive multiple of `multiple` (null: empty). Repeated rows are media
+    of their own with the same chunks; null ids stay null; an empty table has no recipes; other columns aren't read. First each task packs
     those of its chunks that it hasn't packed yet; of the copies that several tasks made, a join picks one, and recipes
     refer to that alone. A pack of which more than `max_unused` isn't referred to is then rewritten with what is, and
     deleted.
@@ -209,7 +210,7 @@ def load(recipes: DataFrame, folder: str) -> DataFrame:
     """Reassemble every medium from its chunk list, verify it, and describe it; a row per stored row.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, chunks, feature. A chunk whose
-    digest doesn't hold fails the task.
+    digest doesn't hold fails the task. No recipes give no rows.
     """
     one = recipes.repartition("home").groupBy("home", "row", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "pack", "at", "size"))).alias("chunks"))
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "chunks", "feature"]

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import byte_slices, scratch_path
+from logweave.llm.common import byte_slices, put, scratch_path
 
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
@@ -91,9 +91,12 @@ class _Member:
                 return True
         return False
 
-    def until(self, mark: bytes, limit: int = 1 << 20) -> bytes:
-        while (at := self.out.find(mark)) < 0:
-            if len(self.out) > limit or not self.more():
+    def until(self, mark: bytes) -> bytes:
+        """What comes before the mark, however long: a header holds the URL, which may be."""
+        begin = 0
+        while (at := self.out.find(mark, begin)) < 0:
+            begin = max(0, len(self.out) - len(mark))
+            if not self.more():
                 raise ValueError("a record has no end of header")
         head, self.out = self.out[:at], self.out[at + len(mark) :]
         return head
@@ -164,16 +167,15 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
     first = first.groupBy("digest").agg(F.max("id").alias("last"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")).where("n > 1").select("digest", "last", F.explode("salts").alias("salt"))
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for start in range(0, b.num_rows, 500):
-                part = b.slice(start, 500)
-                payloads = [h.encode() for h in part.column("html").to_pylist()]
-                digests = [base64.b32encode(bytes.fromhex(d)).decode() for d in part.column("digest").to_pylist()]
-                records = [response_record(str(i), u, p, d) for i, u, p, d in zip(part.column("id").to_pylist(), part.column("url").to_pylist(), payloads, digests)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "url", "digest", "salt")), pa.array(list(map(len, payloads)), pa.int64()), pa.array(records, pa.binary())], names=["id", "url", "digest", "salt", "length", "record"])
+        for part in byte_slices(batches, "html"):
+            payloads = [h.encode() for h in part.column("html").to_pylist()]
+            digests = [base64.b32encode(bytes.fromhex(d)).decode() for d in part.column("digest").to_pylist()]
+            records = [response_record(str(i), u, p, d) for i, u, p, d in zip(part.column("id").to_pylist(), part.column("url").to_pylist(), payloads, digests)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "url", "digest", "salt")), pa.array(list(map(len, payloads)), pa.int64()), pa.array(records, pa.binary())], names=["id", "url", "digest", "salt", "length", "record"])
 
     packed = row.mapInArrow(squeeze, "id long, url string, digest string, salt int, length long, record binary")
-    joined = packed.join(first, ["digest", "salt"], "left")
+    # rows that tie in the id have one salt, so after this they are in one task, however the join is run
+    joined = packed.repartition("digest", "salt").join(first, ["digest", "salt"], "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -183,7 +185,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, id_col: st
         def close() -> None:
             # a file appears under its name when it is whole; a task that runs twice writes the same bytes again
             stream.close()
-            fsys.move(temp, final)
+            put(fsys, temp, final)
             made[-1][2] = size
 
         for b in byte_slices(batches, "record"):
@@ -250,6 +252,10 @@ def read_archives(archives: DataFrame, path_col: str = "path", keep_payload: boo
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write pages as archives in the shared folder and read them back."""
+    """Write pages as archives in the shared folder and read them back: a row per page, as read_archives gives them.
+
+    Nulls, ties and equal payloads are as write_archives says; pages that repeat in full give a response and revisits. An
+    empty table gives no rows. Page ids are whole numbers; other columns aren't read.
+    """
     folder = scratch_path(pages.sparkSession, "warc")
     return read_archives(write_archives(pages, folder, min_bytes))
