@@ -1,6 +1,6 @@
 """Cost-balanced packing of documents into token sequences, cutting only where nothing has room.
 
-Every scan partition packs what it reads, in groups of a bounded number of tokens, so there is no shuffle, no state that
+Every scan partition packs what it reads, in groups of a bounded number of tokens and pieces, so there is no shuffle, no state that
 grows with the corpus, and a lost task is simply run again with the same result. A group loses no room: its sequences
 hold 1024 tokens each, and what is left over goes to sequences whose lengths are the powers of two that add up to it.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from logweave.llm.common import byte_slices, filled
 from logweave.llm.tokenize import encoder
 
-#: Tokens of a group at most (plus one document's remainder): 16 MB of ids.
-GROUP_TOKENS = 4 << 20
+#: Tokens of a group at most (plus one document's remainder): 16 MB of ids; and pieces: another 16 MB.
+GROUP_TOKENS, GROUP_PIECES = 4 << 20, 1 << 16
 
 
 def attention_cost(length, linear: float = 1.0, quadratic: float = 1.0 / 1024):
@@ -99,10 +99,13 @@ def pack(df: DataFrame, path: str, end_id: int = 0, capacity: int = 1024, id_col
                 for start in range(0, whole, capacity):
                     rows.append((doc, start, capacity, zlib.crc32(ids[a + start : a + start + capacity]), tokens, next_id, 0))
                     next_id += 1
+                if len(rows) > 20_000:
+                    yield batch_of(rows)
+                    rows = []
                 if tokens > whole:
                     held.append((doc, whole, ids[a + whole : b].copy(), tokens))
                     held_tokens += tokens - whole
-                    if held_tokens >= group_tokens:
+                    if held_tokens >= group_tokens or len(held) >= GROUP_PIECES:
                         rows += flush()
             if len(rows) > 20_000:
                 yield batch_of(rows)
