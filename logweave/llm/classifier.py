@@ -104,7 +104,11 @@ def score(df: DataFrame, model: RankModel, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(df: DataFrame, model: RankModel, text_col: str = "text") -> DataFrame:
-    """The rows of df that the model doesn't reject, with all their columns."""
+    """The rows of df that the model doesn't reject, with all their columns.
+
+    Null and empty texts are scored as texts without words; repeated rows stay or go together; ids may be null. An empty
+    table stays empty.
+    """
     schema = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

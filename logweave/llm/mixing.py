@@ -134,8 +134,11 @@ def mix(df: DataFrame, share: float = 1.5, max_epochs: float = 2.0, seed: int =
 
 
 def mixed_documents(df: DataFrame, share: float = 1.5, max_epochs: float = 2.0, seed: int = 20240229, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cycle: tuple[int, ...] = (5, 2, 1), weights: DataFrame | None = None) -> DataFrame:
-    """The rows of df as often as the mix takes them, with df's columns; one repetition per source has only the words needed. Documents
-    without words add nothing and are left out."""
+    """The rows of df as often as the mix takes them, with df's columns; one repetition per source has only the words needed.
+
+    Null, empty and blank texts add nothing and are left out; sources, ids and ties are as mix() says. An empty table stays
+    empty. Clashing names of other columns don't matter: a row is carried as one value.
+    """
     docs = materialize(sizes(df, seed, id_col, text_col, source_col), "mix-sizes")
     plan = mixing_plan(docs, share, max_epochs, seed, cycle, weights)
     carried = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), word_count(F.col(text_col)).alias("size"), source_key(F.col(source_col)).alias("key"), priority(F.col(id_col), seed).alias("pri"))
