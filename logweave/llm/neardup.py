@@ -35,6 +35,8 @@ _PROBES = _rng.integers(0, BINS, (BINS, 8 * BINS))
 _EDGES = np.arange(1, BINS, dtype=np.uint64) << _U(64 - BINS.bit_length() + 1)
 #: Ids that a look-up may broadcast; beyond that it shuffles.
 BROADCAST_IDS = 500_000
+#: Sets of a block that others meet under a shingle.
+BLOCK_SETS = 1024
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -115,6 +117,12 @@ def signatures(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {_ids_type(df, id_col)}, n long, d1 long, d2 long, keys array<long>")
 
 
+def _parity(s: np.ndarray) -> list[int]:
+    """Four numbers of 64 bits: for each of 256 classes of shingles whether the set has an odd number of them."""
+    bits = np.bincount((s & _U(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
 def full_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, s): the shingle hashes of the documents named in ids (id), a row each."""
 
@@ -127,6 +135,20 @@ def full_sets(df: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Data
     return texts.mapInArrow(run, f"id {_ids_type(df, id_col)}, s array<long>")
 
 
+def sketches(sets: DataFrame) -> DataFrame:
+    """(id, g0 to g3) of (id, s): two sets differ in as many of these bits as in shingles, or in fewer."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values, offsets = b.column("s").flatten().to_numpy(zero_copy_only=False).view(np.uint64), b.column("s").offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            g = np.array([_parity(values[i:j]) for i, j in zip(offsets[:-1], offsets[1:])], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(g[:, k]) for k in range(4))], names=["id", *(f"g{k}" for k in range(4))])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    return sets.mapInArrow(run, f"id {kind}, g0 long, g1 long, g2 long, g3 long")
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) of pairs whose sets are similar enough: 100 * intersection >= percent * union."""
     both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
@@ -177,27 +199,42 @@ def _with_component(sig: DataFrame, classed: DataFrame, id_col: str) -> DataFram
 
 
 def _prefix_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different labels that share one of their rarest shingles: all that can be similar enough are there.
-
-    Two sets that are similar enough share at least ceil(percent * n / 100) of either's n shingles, so they share one of
-    the first n - ceil(percent * n / 100) + 1 in any common order. Shingles that occur once come first and match nothing.
+    """Pairs (a, b) of different labels that may be similar enough: all that are are there.
+
+    Shingles are taken in the order of how many sets have them, so those that one set alone has come first and match
+    nothing. Two sets that are similar enough share at least ceil(percent * n / 100) of either's n shingles, and as many as
+    ceil(2 * percent * n / (100 + percent)) of the smaller one's. So one of the smaller set's first shingles up to the
+    latter is among the larger one's first up to the former. Under a shingle, sets meet in blocks, and a pair is made only
+    where sizes, and the bits in which the sets' sketches differ, allow it: many sets that share most of their shingles
+    and still aren't similar enough give no pairs.
     """
-    each = open_.join(sets, "id").select("id", "label", "n", F.size("s").alias("size"), F.explode("s").alias("h"))
-    shared = each.groupBy("h").agg(F.count("*").alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("df > 1")
-    known = each.join(shared.select("h", "df"), "h")
-    length = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1 - (F.col("size") - F.size("hs"))
+    each = open_.join(sets, "id").select("id", "label", F.size("s").alias("size"), F.explode("s").alias("h"))
+    shared = each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    known = each.join(shared, "h")
     lists = known.groupBy("id", "label", "size").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("hs"))
-    prefix = lists.where(length > 0).select("id", "label", "size", F.explode(F.slice("hs", F.lit(1), length.cast("int"))).alias("x")).select("id", "label", "size", F.col("x.h").alias("h"))
-    prefix = materialize(prefix, "prefix")
-    across = prefix.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
-    kept = prefix.join(across, "h")
-    left, right = kept.select("h", *[F.col(c).alias(f"{c}1") for c in ("id", "label", "size")]), kept.select("h", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "size")])
-    near = (100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2")) & (F.col("id1") < F.col("id2")) & (F.col("label1") != F.col("label2"))
-    return left.join(right, "h").where(near).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
+    alone = F.col("size") - F.size("hs")
+    upto = lambda least: (F.col("size") - F.ceil(least) + 1 - alone).cast("int")
+    looks, indexed = upto(F.col("size") * percent / 100), upto(F.col("size") * (2 * percent) / (100 + percent))
+    lists = lists.withColumns({"looks": looks, "indexed": indexed}).where("looks > 0")
+    prefix = lists.select("id", "label", "size", "indexed", F.posexplode(F.slice("hs", F.lit(1), F.col("looks"))).alias("at", "x"))
+    prefix = prefix.select("id", "label", "size", (F.col("at") < F.col("indexed")).alias("indexed"), F.col("x.h").alias("h"))
+    across = prefix.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count_if("indexed").alias("c")).where("x <> y and c > 0")
+    kept = prefix.join(across.select("h", F.ceil(F.col("c") / BLOCK_SETS).cast("int").alias("blocks")), "h").join(sketches(open_.select("id").distinct().join(sets, "id")), "id")
+    kept = materialize(kept, "prefix")
+    columns = ["id", "label", "size", "g0", "g1", "g2", "g3"]
+    left = kept.where("indexed").select("h", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), *[F.col(c).alias(f"{c}_1") for c in columns])
+    right = kept.select("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *[F.col(c).alias(f"{c}_2") for c in columns])
+    sizes = F.expr(f"(size_1 < size_2 or size_1 = size_2 and id_1 < id_2) and 100 * size_1 >= {percent} * size_2 and label_1 <> label_2")
+    # of two sets with as many shingles in common as they must have, (100 - percent) / (100 + percent) of all are in one only
+    bits = F.expr(f"{100 + percent} * ({' + '.join(f'bit_count(g{k}_1 ^ g{k}_2)' for k in range(4))}) <= {100 - percent} * (size_1 + size_2)")
+    return left.join(right, ["h", "block"]).where(sizes & bits).select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()
 
 
 def keep_one(df: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose document is kept, with df's columns."""
+    """The rows of df whose document is kept, with df's columns.
+
+    Null ids, and null and empty texts, stay; repeated rows of a document stay or go together; an empty table stays empty.
+    """
     gone = near_duplicates(df, percent, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
     return df.join(gone, id_col, "left_anti").select(*[f"`{c}`" for c in df.columns])
 

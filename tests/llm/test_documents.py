@@ -116,6 +116,13 @@ def test_packing(docs, data):
         packing.pack(docs, BYTES, capacity=1000)
 
 
+def test_packing_of_many_empty_texts(spark, monkeypatch):
+    """Groups end at a number of pieces too."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 5000)
+    got = packing.pack(spark.range(40_000).selectExpr("id as doc_id", "cast(null as string) as text").coalesce(1), BYTES).collect()
+    check_packing([tuple(r) for r in got], [(k, [0]) for k in range(40_000)])
+
+
 def test_assign_balances_cost():
     done = packing.assign(np.array([900, 500, 500, 100, 24, 24]), 1024)
     first = {p: s for p, _, _, s, _ in done}
@@ -195,6 +202,23 @@ def test_near_duplicates_in_chains(spark):
     assert found == brute_components(texts, 80)
 
 
+def test_many_sets_that_are_not_similar_enough_give_few_pairs(spark):
+    """Texts of 104 common words and 12 of their own share nearly all shingles, and no two are near at 85 %."""
+    rng = random.Random(17)
+    common = " ".join(f"c{rng.randrange(10**6)}" for _ in range(104))
+    texts = {k: common + " " + " ".join(f"o{k}x{j}" for j in range(12)) for k in range(400)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = neardup.full_sets(df, df.select(neardup.F.col("doc_id").alias("id")), "doc_id", "text")
+    every = df.select(neardup.F.col("doc_id").alias("id"), neardup.F.col("doc_id").alias("label"))
+    assert neardup._prefix_pairs(every, sets, 85).count() == 0
+    assert neardup.near_duplicates(df, 85).where("kept").count() == 400
+    # own parts that others share as well, so that the prefixes meet
+    texts = {k: common + " " + " ".join(f"o{(k + j) % 40}" for j in range(12)) for k in range(200)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 85).collect()}
+    assert found == brute_components(texts, 85)
+
+
 def spans(t):
     out = []
     for rank, (kind, pattern, group, least) in enumerate((("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24))):
@@ -300,6 +324,36 @@ def test_quality_rules_find_what_good_rows_lack(spark):
     assert sum(r.kept for r in unseen if r.doc_id % 8) >= 0.97 * 350 and sum(r.kept for r in unseen if r.doc_id % 8 == 0) <= 2
 
 
+def test_one_row_an_id_comes_to_the_driver(spark):
+    df = spark.createDataFrame([(1, f"text {'word ' * (k % 7)}") for k in range(5000)] + [(2, "other text")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
+    x, y = quality_rules.labelled_features(df, labels, 2)
+    assert len(x) == 2 and sorted(y) == [0, 1]
+    x, y = quality_rules.labelled_features(df.limit(0), labels, 2)
+    assert len(x) == len(y) == 0
+    model = quality_rules.fit(df.limit(0), labels)
+    assert quality_rules.apply(df.limit(0), model).count() == classifier.score(df.limit(0), classifier.fit(df.limit(0), labels)).count() == 0
+
+
+def plain_path(forest, t, row):
+    node, depth = 0, 0
+    while forest.feature[t, node] >= 0:
+        node, depth = 2 * node + 1 + (row[forest.feature[t, node]] >= forest.cut[t, node]), depth + 1
+    return forest.depth[t, node]
+
+
+def test_path_lengths():
+    """Scores against a walk down every tree, and leaves against the rows that end in them."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4))
+    forest = quality_rules.IsolationForest.fit(x, trees=7, psi=64)
+    expected = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    want = [2 ** (-np.mean([plain_path(forest, t, row) for t in range(7)]) / expected(64)) for row in x]
+    assert np.allclose(forest.scores(x), want)
+    height = 6
+    assert all(0 < d <= height + expected(64) for d in forest.depth[forest.depth > 0])
+
+
 def test_isolation_forest():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(500, 3)), [[9, 9, 9]]])
@@ -324,6 +378,25 @@ def test_classifier(spark, docs, data):
     assert classifier.keep_good(docs, none).columns == docs.columns
 
 
+def test_ranking_against_plain_gradient_ascent():
+    """The same loss over all pairs, by small steps."""
+    rng = np.random.default_rng(5)
+    y = np.arange(60) % 2
+    x = rng.normal(size=(60, 13)) + y[:, None] * np.linspace(0, 1.5, 13)
+    model = classifier.fit_pairs(x, y, pairs=40_000)
+    z = np.clip((x - x.mean(0)) / x.std(0), -8, 8)
+    delta = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 13)
+    w = np.zeros(13)
+    for _ in range(4000):
+        p = 1 / (1 + np.exp(-np.clip(delta @ w, -30, 30)))
+        w += 0.3 * (delta.T @ (1 - p) / len(delta) - 1e-2 * w)
+    assert np.corrcoef(z @ w, model.raw(x))[0, 1] > 0.999
+    cut = [(np.mean(model.raw(x)[y == 1] > t) + np.mean(model.raw(x)[y == 0] <= t), t) for t in np.sort(model.raw(x))]
+    best = np.mean(model.raw(x)[y == 1] > model.threshold) + np.mean(model.raw(x)[y == 0] <= model.threshold)
+    assert best >= max(cut)[0] - 1e-9
+    assert np.array_equal(model.probability(x) >= classifier.AT, model.raw(x) >= model.threshold)
+
+
 def edits(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -456,11 +529,27 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_one_response_for_a_page_that_repeats(spark, tmp_path):
+    """In two files and two partitions, whatever join is chosen."""
+    for k in range(2):
+        spark.createDataFrame([(7777, "u", "<p>same</p>"), (k, "v", "<p>same</p>")], "page_id long, url string, html string").coalesce(1).write.mode("append").parquet(str(tmp_path / "pages"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark.read.parquet(str(tmp_path / "pages"))).collect())
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert got == Counter([(7777, "response", None), (7777, "revisit", 7777), (0, "revisit", 7777), (1, "revisit", 7777)])
+
+
 def test_warc_framing():
     data = warc.response_record("1", "http://a", b"x" * 600_000) + warc.revisit_record("2", "http://b", 3, "A" * 32, "1") + warc.response_record("3", None, b"")
     got = list(warc.read_records(io.BytesIO(data), keep_payload=True))
     assert [(r.headers["warc-type"], r.http_length, r.payload) for r in got] == [("response", 600_000, b"x" * 600_000), ("revisit", 3, b""), ("response", 0, b"")]
     assert not any(r.faults for r in got)
+    (long_,) = warc.read_records(io.BytesIO(warc.response_record("4", "http://" + "ä" * 400_000, b"y")))
+    assert len(long_.headers["warc-target-uri"]) == 7 + 6 * 400_000 and long_.payload_bytes == 1
     with pytest.raises(ValueError):
         list(warc.read_records(io.BytesIO(data[:-5])))
     z = zlib.decompress(warc.response_record("1", "u", b"abc"), 31).replace(b"abc", b"abd")
