@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Word boundary over ASCII words; Java's own is Unicode-aware.
 WB = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+#: The same before and behind what is a word character itself.
+BEFORE, BEHIND = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 _X, _U, _L = r"[0-9A-Fa-f]", "[A-Z]", "[a-z]"
 _OCTET = r"(?:25[0-5]|(?:2[0-4]|1\d|[1-9])?\d)"
 _REAL = r"\d+(?:[.]\d+)?"
@@ -30,10 +32,19 @@ class Mask:
     pattern: str
     replacement: str = r"\$v"
     group: int = 0
+    #: Every match holds one of these, so texts without them needn't be searched; none given: all are.
+    needs: tuple[str, ...] = ()
 
     def __call__(self, text: Column) -> Column:
         return F.regexp_replace(text, self.pattern, self.replacement)
 
+    def where_needed(self, text: Column) -> Column:
+        """The same, searched only where a match can be. The text is evaluated once."""
+        if not self.needs:
+            return self(text)
+        some = lambda x: reduce(Column.__or__, [x.contains(n) for n in self.needs])
+        return F.get(F.transform(F.array(text), lambda x: F.when(some(x), self(x)).otherwise(x)), F.lit(0))
+
     def extract(self, text: Column) -> Column:
         """All values that the mask would replace, as an array."""
         if self.group < 0:
@@ -56,28 +67,28 @@ def ipv6_pattern() -> str:
     return rf"\[(?={body}\]:\d{{1,5}}{_END})[0-9A-Fa-f:]+\]:\d{{1,5}}|(?<![\w:]){body}"
 
 
-EXTENDED_DATE = Mask("extended_date", rf"{WB}(?:{_U}{_L}{{2}}\s+){{2}}\d{{2}}(?:\s+\d{{4}})?\s+{_CLOCK}(?:\s+{_U}{{3}}(?:\+\d{{4}})?)?(?:\s+\d{{4}})?{WB}")
-LONG_DATE = Mask("long_date", rf"{WB}(?:{_U}{_L}{{2}}\s+){{0,2}}\d{{4}}-\d{{2}}-\d{{2}}\s+{_CLOCK}(?:\s+{_U}{{3}})?{WB}")
-DATE = Mask("date", rf"{WB}\d{{2}}/\d{{2}}/\d{{2}}{WB}")
-TIME = Mask("time", rf"{WB}{_CLOCK}{WB}")
-UUID = Mask("uuid", rf"{WB}\{{?{_X}{{8}}-(?:{_X}{{4}}-){{3}}{_X}{{12}}\}}?{WB}")
-LIBVIRTD = Mask("libvirtd", rf"^{_D4}-{_D2}-{_D2} {_CLOCK}[.]\d{{3}}[+]{_D4}: \d+:")
-IPV6 = Mask("ipv6", ipv6_pattern())
-AUDIT = Mask("linux_kernel_audit", rf"{WB}audit[(]\d+[.]\d+:\d+[)]", r"audit(\$v)")
-MEM_SIZE = Mask("linux_mem_size", rf"(?i){WB}{_REAL}\s*[KMG]{WB}")
-DATA_SIZE = Mask("data_size", rf"(?i){WB}{_REAL}\s*[KMGTP]?i?B{WB}")
-DURATION = Mask("time_duration", rf"{WB}-?{_REAL}\s*(?:m?s|seconds?){WB}")
+EXTENDED_DATE = Mask("extended_date", rf"{BEFORE}(?:{_U}{_L}{{2}}\s+){{2}}\d{{2}}(?:\s+\d{{4}})?\s+{_CLOCK}(?:\s+{_U}{{3}}(?:\+\d{{4}})?)?(?:\s+\d{{4}})?{BEHIND}", needs=(":",))
+LONG_DATE = Mask("long_date", rf"{BEFORE}(?:{_U}{_L}{{2}}\s+){{0,2}}\d{{4}}-\d{{2}}-\d{{2}}\s+{_CLOCK}(?:\s+{_U}{{3}})?{BEHIND}", needs=("-",))
+DATE = Mask("date", rf"{BEFORE}\d{{2}}/\d{{2}}/\d{{2}}{BEHIND}", needs=("/",))
+TIME = Mask("time", rf"{BEFORE}{_CLOCK}{BEHIND}", needs=(":",))
+UUID = Mask("uuid", rf"{WB}\{{?{_X}{{8}}-(?:{_X}{{4}}-){{3}}{_X}{{12}}\}}?{WB}", needs=("-",))
+LIBVIRTD = Mask("libvirtd", rf"^{_D4}-{_D2}-{_D2} {_CLOCK}[.]\d{{3}}[+]{_D4}: \d+:", needs=("+",))
+IPV6 = Mask("ipv6", ipv6_pattern(), needs=(":",))
+AUDIT = Mask("linux_kernel_audit", rf"{BEFORE}audit[(]\d+[.]\d+:\d+[)]", r"audit(\$v)", needs=("audit(",))
+MEM_SIZE = Mask("linux_mem_size", rf"(?i){BEFORE}{_REAL}\s*[KMG]{BEHIND}", needs=("G", "K", "M", "g", "k", "m"))
+DATA_SIZE = Mask("data_size", rf"(?i){BEFORE}{_REAL}\s*[KMGTP]?i?B{BEHIND}", needs=("B", "b"))
+DURATION = Mask("time_duration", rf"{WB}-?{_REAL}\s*(?:m?s|seconds?){BEHIND}", needs=("s",))
 _at = lambda letter, times="?": rf"(?:{letter}\d+){times}"
 _SLOT, _USB = _at("p") + r"s\d+" + _at("f") + _at("d"), r"p\d+s\d+" + _at("f") + _at("u", "*") + _at("c") + _at("i")
-NETIF = Mask("linux_netif", rf"{WB}(?:{_at('P')}(?:en|w[lw])(?:x{_X}{{12}}|o\d+|{_SLOT}|{_USB})|(?:eth|wlan|wwan)\d+){WB}")
-MAC = Mask("mac_address", rf"{WB}(?:{_X}{{2}}[:-]){{5}}{_X}{{2}}{WB}")
-IPV4 = Mask("ipv4_address", rf"{WB}(?:{_OCTET}\.){{3}}{_OCTET}(?::\d{{1,5}})?{WB}")
-HEX = Mask("hexadec_constant", rf"{WB}0x{_X}+{WB}")
-SQUARE = Mask("square_bracket", r"\[.*?\]", r"[\$v]")
-POINTED = Mask("pointed_bracket", r"<.*?>", r"<\$v>")
+NETIF = Mask("linux_netif", rf"{BEFORE}(?:{_at('P')}(?:en|w[lw])(?:x{_X}{{12}}|o\d+|{_SLOT}|{_USB})|(?:eth|wlan|wwan)\d+){BEHIND}", needs=("en", "wl", "ww", "eth"))
+MAC = Mask("mac_address", rf"{BEFORE}(?:{_X}{{2}}[:-]){{5}}{_X}{{2}}{BEHIND}", needs=(":", "-"))
+IPV4 = Mask("ipv4_address", rf"{BEFORE}(?:{_OCTET}\.){{3}}{_OCTET}(?::\d{{1,5}})?{BEHIND}", needs=(".",))
+HEX = Mask("hexadec_constant", rf"{BEFORE}0x{_X}+{BEHIND}", needs=("0x",))
+SQUARE = Mask("square_bracket", r"\[.*?\]", r"[\$v]", needs=("[",))
+POINTED = Mask("pointed_bracket", r"<.*?>", r"<\$v>", needs=("<",))
 NUMBER = Mask("number_constant", rf"(^|[{LEFT}])(-?\d+)(?=[{RIGHT}]|$)", r"$1\$v", 2)
 #: Extraction gives an empty string per match: the values it names don't exist in the pattern.
-AGGRESSIVE_NUMBER = Mask("aggressive_number_constant", rf"{WB}-?\d+{WB}", r"\$v", -1)
+AGGRESSIVE_NUMBER = Mask("aggressive_number_constant", rf"{WB}-?\d+{BEHIND}", r"\$v", -1)
 SEPARATION = Mask("separation_inserter", r"""([.,:=/'"\\])([A-Za-z0-9])""", "$1 $2", 0)
 
 MASKS = {m.name: m for m in (EXTENDED_DATE, LONG_DATE, DATE, TIME, UUID, LIBVIRTD, IPV6, AUDIT, MEM_SIZE, DATA_SIZE, DURATION, NETIF, MAC, IPV4, HEX, SQUARE, POINTED, NUMBER, AGGRESSIVE_NUMBER, SEPARATION)}
@@ -98,7 +109,7 @@ class MaskChain:
         return self._given[::-1]
 
     def __call__(self, text: Column) -> Column:
-        return reduce(lambda c, m: m(c), self.order, text)
+        return reduce(lambda c, m: m.where_needed(c), self.order, text)
 
     def extract(self, text: Column) -> Column:
         """What each stage takes out of what the one before left, in one array."""

@@ -15,8 +15,12 @@ from logweave.sources import text as sinks
 
 
 def masked_distinct(lines: DataFrame, column: str = "value", chain: masking.MaskChain = masking.DEFAULT) -> DataFrame:
-    """(value): the distinct masked lines. Only they go on, so what is masked alike is folded once."""
-    return lines.select(chain(F.col(column)).alias("value")).distinct()
+    """(value): the distinct masked lines. Only they go on, so what is masked alike is folded once.
+
+    The masks come out of a generator, past which no filter on the result is moved: they would run again in the filter.
+    """
+    masked = lines.select(F.inline(F.array(F.struct(chain(F.col(column)).alias("value")))))
+    return masked.distinct()
 
 
 def mine_log(lines: DataFrame, column: str = "value", threshold: float = 0.34, params: bool = True, split: bool = True) -> DataFrame:
@@ -27,7 +31,8 @@ def mine_log(lines: DataFrame, column: str = "value", threshold: float = 0.34, p
 def masked_messages(lines: DataFrame, fmt: str, column: str = "value", chain: masking.MaskChain = masking.DEFAULT, **options) -> DataFrame:
     """Parsed lines without errors, their messages masked."""
     parsed = parse_lines(lines, fmt, column, **options).where(~F.col("_error"))
-    return parsed.withColumn("message", chain(F.col("message")))
+    kept = [c for c in parsed.columns if c != "message"]
+    return parsed.select(*kept, F.inline(F.array(F.struct(chain(F.col("message")).alias("message")))))
 
 
 def syslog_flat(lines: DataFrame, fmt: str = "${DATE} ${ORIGIN} ${MESSAGE}", cutoff: float = 0.3, **options) -> DataFrame:

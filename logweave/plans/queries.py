@@ -105,7 +105,10 @@ _add("custom_times", _over(lambda d: d.select("event_id", F.unix_micros(parsing.
 
 # masking
 def _re2(mask: masking.Mask) -> str:
-    return mask.pattern.replace(masking.WB, r"\b").replace("'", "''")
+    pattern = mask.pattern
+    for boundary in (masking.WB, masking.BEFORE, masking.BEHIND):
+        pattern = pattern.replace(boundary, r"\b")
+    return pattern.replace("'", "''")
 
 
 def _mask_sql(mask: masking.Mask, text: str) -> str:
