@@ -19,6 +19,25 @@ def edit_table(a: Sequence, b: Sequence, same: Callable = lambda x, y: x == y) -
     return t
 
 
+def edit_distances(words: Sequence[str]) -> np.ndarray:
+    """Unit-cost edit distances of each two words: each word against all at once."""
+    n, most = len(words), max(map(len, words), default=0)
+    codes = np.full((most, n), -1, np.int32)
+    for k, w in enumerate(words):
+        codes[: len(w), k] = [ord(c) for c in w]
+    lengths, out = np.array([len(w) for w in words], int), np.zeros((n, n), np.int32)
+    for k, w in enumerate(words):
+        row = np.repeat(np.arange(most + 1, dtype=np.int32)[:, None], n, axis=1)
+        for c in w:
+            last = row[0].copy()
+            row[0] += 1
+            for j in range(1, most + 1):
+                now = np.minimum(np.minimum(row[j], row[j - 1]) + 1, last + (codes[j - 1] != ord(c)))
+                last, row[j] = row[j].copy(), now
+        out[k] = row[lengths, np.arange(n)]
+    return out
+
+
 def edit_path(a: Sequence, b: Sequence, same: Callable = lambda x, y: x == y) -> tuple[int, str]:
     """(distance, script of R D I S). Going back, the diagonal is preferred; deletion and insertion must be strictly cheaper."""
     t = edit_table(a, b, same)

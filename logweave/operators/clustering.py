@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logweave.functions.distance import logistic_decrease, weighted_distance
-from logweave.functions.kernels import two_means_cutoff
+from logweave.functions.kernels import edit_distances, two_means_cutoff
 from logweave.functions.tokens import quoted_words
 from logweave.operators.graph import connected_components
 
@@ -31,13 +31,21 @@ def reachable(start: DataFrame, edges: DataFrame, node: str = "node", src: str =
     return seen.withColumnRenamed("node", node)
 
 
+#: Items of a block: without keys every block meets every other.
+BLOCK_ITEMS = 2000
+
+
 def pairs_within(df: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
-    """keys, a, b for each two items a < b of a group: an equi-join on the keys with a range condition."""
+    """keys, a, b for each two items a < b of a group: an equi-join on the keys with a range condition.
+
+    Without keys every item meets every other, block by block, so that no task has them all.
+    """
     left, right = df.select(*keys, F.col(item).alias("a")), df.select(*keys, F.col(item).alias("b"))
     if keys:
         return left.join(right, list(keys)).where("a < b")
-    # without keys every item meets every other: one key, which the planner may split by ranges of rows
-    return left.crossJoin(right).where("a < b")
+    blocks = max(1, min(256, -(-df.count() // BLOCK_ITEMS)))
+    every, own = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), lambda x: F.pmod(F.xxhash64(x), F.lit(blocks)).cast("int")
+    return left.select("a", own("a").alias("i"), every.alias("j")).join(right.select("b", own("b").alias("j"), every.alias("i")), ["i", "j"]).where("a < b").select("a", "b")
 
 
 def agglomerative(df: DataFrame, keys: Sequence[str], item: str, edge: Callable[[Column, Column], Column]) -> DataFrame:
@@ -56,17 +64,30 @@ def label_components(items: DataFrame, linked: DataFrame, keys: Sequence[str], i
     return out.withColumn("cluster_id", F.dense_rank().over(W.partitionBy(*keys).orderBy("least")) - 1).drop("least")
 
 
+#: Items that nearest() and nearest_cluster() compare every query with at most: they are broadcast.
+NEAREST_ITEMS = 100_000
+
+
+def _few(items: DataFrame) -> DataFrame:
+    if items.limit(NEAREST_ITEMS + 1).count() > NEAREST_ITEMS:
+        raise ValueError(f"there are more than {NEAREST_ITEMS} items to compare each query with; block them by a key")
+    return F.broadcast(items)
+
+
 def nearest(queries: DataFrame, query: str, items: DataFrame, item: str, distance: Callable[[Column, Column], Column]) -> DataFrame:
-    """query, item, distance of the nearest item, the first in item order among equals; infinity and null for no items."""
-    met = queries.select(F.col(query)).distinct().join(items.select(F.col(item)).distinct())
+    """query, item, distance of the nearest item, the first in item order among equals; infinity and null for no items.
+
+    Each query is compared with every item, as any distance may be given; more than NEAREST_ITEMS items are an error.
+    """
+    met = queries.select(F.col(query)).distinct().join(_few(items.select(F.col(item)).distinct()))
     best = met.withColumn("distance", distance(F.col(query), F.col(item)).cast("double")).groupBy(query).agg(F.min(F.struct("distance", item)).alias("best"))
     got = queries.select(query).distinct().join(best, query, "left")
     return got.select(query, F.col(f"best.{item}").alias(item), F.coalesce("best.distance", F.lit(float("inf"))).alias("distance"))
 
 
 def nearest_cluster(queries: DataFrame, query: str, clusters: DataFrame, item: str, cluster: str, distance: Callable[[Column, Column], Column]) -> DataFrame:
-    """query, cluster, distance: the cluster with the nearest member, the first cluster among equals."""
-    met = queries.select(F.col(query)).distinct().join(clusters.select(cluster, item))
+    """query, cluster, distance: the cluster with the nearest member, the first cluster among equals. As nearest(), an error for very many members."""
+    met = queries.select(F.col(query)).distinct().join(_few(clusters.select(cluster, item)))
     each = met.withColumn("distance", distance(F.col(query), F.col(item)).cast("double")).groupBy(query, cluster).agg(F.min("distance").alias("distance"))
     best = each.groupBy(query).agg(F.min(F.struct("distance", cluster)).alias("best"))
     return best.select(query, F.col(f"best.{cluster}").alias(cluster), F.col("best.distance").alias("distance"))
@@ -113,9 +134,9 @@ def cluster_flat(messages: DataFrame, column: str = "message", cutoff: float = 0
 
 
 def distances(messages: DataFrame, keys: Sequence[str], column: str = "message", nu: float = -1.0) -> DataFrame:
-    """keys, a, b, distance for each two distinct messages of a group."""
+    """keys, a, b, distance for each two distinct messages of a group; to 12 places, as sums that are equal should compare so."""
     items = messages.select(*keys, column).distinct()
-    return pairs_within(items, keys, column).withColumn("distance", message_distance(F.col("a"), F.col("b"), nu))
+    return pairs_within(items, keys, column).withColumn("distance", F.round(message_distance(F.col("a"), F.col("b"), nu), 12))
 
 
 def cluster_by_process(messages: DataFrame, process: str = "process", column: str = "message", nu: float = -1.0) -> DataFrame:
@@ -137,28 +158,17 @@ def cluster_by_process(messages: DataFrame, process: str = "process", column: st
 def _nested(words: list[list[str]], scale: float) -> list[tuple[int, ...]]:
     """The path of each message of one bucket: nested components below cutoffs that shrink."""
     n = len(words)
-    cost: dict[tuple[str, str], int] = {}
-
-    def edits(a: str, b: str) -> int:
-        if a == b:
-            return 0
-        key = (a, b) if a < b else (b, a)
-        if key not in cost:
-            row = list(range(len(b) + 1))
-            for i, x in enumerate(a, 1):
-                last, row[0] = row[0], i
-                for j, y in enumerate(b, 1):
-                    last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-            cost[key] = row[-1]
-        return cost[key]
-
-    weights = 1 / (1 + np.exp(scale * np.arange(1, max(map(len, words), default=0) + 1) + 1))
+    # position by position: distances of the distinct words there, spread over the pairs
+    most = max(map(len, words), default=0)
+    weights = 1 / (1 + np.exp(scale * np.arange(1, most + 1) + 1))
     d = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i + 1, n):
-            most = max(len(words[i]), len(words[j]))
-            pad = lambda w: w + [""] * (most - len(w))  # noqa: E731, B023
-            d[i, j] = d[j, i] = sum(edits(a, b) * w for a, b, w in zip(pad(words[i]), pad(words[j]), weights))
+    for k in range(most):
+        here = [w[k] if k < len(w) else "" for w in words]
+        distinct = sorted(set(here))
+        number = {w: i for i, w in enumerate(distinct)}
+        at = np.array([number[w] for w in here])
+        table = edit_distances(distinct)
+        d += table[np.ix_(at, at)] * weights[k]
     paths: list[tuple[int, ...]] = [()] * n
 
     def go(members: list[int], path: tuple[int, ...], last: float | None) -> None:
@@ -193,12 +203,12 @@ def _nested(words: list[list[str]], scale: float) -> list[tuple[int, ...]]:
     return paths
 
 
-def cluster_nested(messages: DataFrame, process: str = "process", column: str = "message", max_bucket: int = 20_000) -> DataFrame:
+def cluster_nested(messages: DataFrame, process: str = "process", column: str = "message", max_bucket: int = 5_000) -> DataFrame:
     """process, n_words, first_word, message, path: within each bucket of a process (quoted word count and first word), nested clusters.
 
     The path has the index of the component at each depth. Weights fall off by the process's word counts: scale 7 / (mean
     + population deviation). Processes with one message are left out. A bucket of more than max_bucket messages fails:
-    its distances are a matrix.
+    its distances are a matrix, of 200 MB at that size.
     """
     items = messages.select(process, column).distinct().withColumn("words", quoted_words(F.col(column)))
     items = items.withColumns({"n_words": F.size("words"), "first_word": F.coalesce(F.get("words", F.lit(0)), F.lit(""))})

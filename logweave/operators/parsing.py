@@ -18,7 +18,7 @@ SEVERITIES = ("emerg", "alert", "crit", "err", "warning", "notice", "info", "deb
 _TRADITIONAL = r"[A-Za-z]{3,9}\s+\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}"
 _ISO = r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}(?:\.\d+)?(?:\+\d{1,2}:\d{1,2}|-\d{2}:\d{2}|Z)?"
 _PIECES = {"ORIGIN": r"(\S+)", "FACILITY": r"(\S+)", "FACILITY_NUM": r"(-?\d+)", "SEVERITY": r"(\S+)", "SEVERITY_NUM": r"(-?\d+)", "ISODATE": f"({_ISO})", "DATE": f"({_TRADITIONAL})", "MESSAGE": r"(.*)"}
-_MESSAGE = r"(?s)^([^:]+?)(?:\[(-?\d+)?\])?:.(.*)$"
+_MESSAGE = r"(?s)^(?=[^:])([^:]*?)(?:\[(-?\d+)?\])?:.(.*)$"
 
 
 class FormatError(ValueError):
@@ -116,10 +116,11 @@ def split_message(text: Column) -> dict[str, Column]:
     """process, pid and message of `process[pid]: message`, and error.
 
     The first colon parts them, and the character behind it is dropped. Empty brackets are pid 0, as are digits that
-    overflow. No colon, nothing before it, nothing behind it, or brackets that hold anything else: an error.
+    overflow. Of several brackets the last ones count. No colon, nothing before it, nothing behind it, or brackets that
+    hold anything else: an error.
     """
     process, digits, message = (F.regexp_extract(text, _MESSAGE, k) for k in (1, 2, 3))
-    bad = text.isNull() | ~text.rlike(_MESSAGE) | process.endswith("]")
+    bad = text.isNull() | ~text.rlike(_MESSAGE) | (process.endswith("]") & ~text.rlike(r"^[^:]*\[(?:-?\d+)?\]:"))
     pid = F.when(digits != "", F.coalesce(digits.try_cast("int"), F.lit(0))).when(text.rlike(r"^[^:]*\[\]:"), F.lit(0))
     keep = lambda c: F.when(~bad, c)
     return {"process": keep(process), "pid": keep(pid), "message": keep(message), "error": bad}

@@ -239,11 +239,13 @@ def matches(lines: DataFrame, templates: DataFrame, column: str = "value") -> Da
     bucket are looked at.
     """
     text = F.col(column)
-    rows = lines.select(text.alias("line"), *bucket_columns(text), special_words(text).alias("words")).withColumn("row", F.monotonically_increasing_id())
+    # a line is its own name: lines that are equal fit alike
+    every = lines.select(text.alias("line"))
+    rows = every.where("line is not null").distinct().select(F.col("line").alias("row"), *bucket_columns(F.col("line")), special_words(F.col("line")).alias("words"))
     known = templates.select("n_tokens", "kind", "token", "template", F.expr(f"regexp_extract_all(template, '[^\\\\s=;,\\\\x27\"()\\\\[\\\\]{{}}]+', 0)").alias("parts"))
     pairs = F.arrays_zip(F.col("words").alias("w"), F.col("parts").alias("p"))
     fits = F.forall(pairs, lambda x: (x["p"] == WILD) | (x["p"] == x["w"]))
     wild = F.filter(pairs, lambda x: x["p"] == WILD)
     met = rows.join(known, ["n_tokens", "kind", "token"]).where(fits).select("row", F.struct(F.size(wild).alias("n"), "template", F.transform(wild, lambda x: x["w"]).alias("params")).alias("m"))
     best = met.groupBy("row").agg(F.min("m").alias("m"))
-    return rows.join(best, "row", "left").select("line", F.col("m.template").alias("template"), F.col("m.params").alias("params"))
+    return every.join(best, F.col("line") == F.col("row"), "left").select("line", F.col("m.template").alias("template"), F.col("m.params").alias("params"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import distance, hashing, masking, tokens
 from logweave.operators import clustering, parsing, templates
-from logweave.operators.graph import connected_components
+from logweave.operators.graph import connected_components, shared_path
 from logweave.plans import pipelines
 from logweave.sources import text as sinks
 
@@ -22,11 +22,15 @@ MSG = """CASE event_type
  WHEN 'click' THEN concat('Login of user u', cast(user_id as {S}), ', status: ', CASE WHEN value >= 50 THEN 'successful' ELSE 'failed' END)
  WHEN 'signup' THEN concat('User u', cast(user_id as {S}), CASE WHEN event_id % 2 = 0 THEN ' logged on' ELSE ' saved state' END, ' successfully')
  ELSE concat('order id=', cast(event_id as {S}), ' amount=', cast(cast(value as decimal(10,2)) as {S}), ' size=', cast(event_id % 512 as {S}), ' KB') END"""
+#: Two IPv6 addresses, and a line's head as libvirtd writes it.
+IP6 = "concat('2001:db8::', lower(hex(user_id + 1)), ' [2001:db8::1:', lower(hex(event_id)), ']:80')"
+LIBVIRTD = "concat('2018-05-', lpad(cast(event_id % 28 + 1 as {S}), 2, '0'), ' 12:41:35.123+0000: ', cast(event_id as {S}), ': ')"
 #: The same with a value of every kind that a mask looks for.
 RICH = """concat('Wed May ', lpad(cast(event_id % 28 + 1 as {S}), 2, '0'), ' 2018 12:41:35 CET ', '2018-05-', lpad(cast(event_id % 28 + 1 as {S}), 2, '0'), ' 12:41:35 on 12/31/', lpad(cast(user_id % 100 as {S}), 2, '0'),
  ' at 10:11:', lpad(cast(user_id % 60 as {S}), 2, '0'), ' id 12345678-1234-1234-1234-', lpad(lower(hex(event_id)), 12, '0'), ' audit(1525.', cast(event_id as {S}), ':77) ', cast(event_id % 64 as {S}), 'K ', cast(user_id as {S}), ' kib in ',
  cast(event_id % 90 as {S}), '.5 seconds via enp', cast(user_id % 9 as {S}), 's3 eth', cast(user_id % 4 as {S}), ' aa:bb:cc:dd:ee:', lpad(lower(hex(user_id % 256)), 2, '0'), ' 10.1.', cast(user_id % 256 as {S}), '.7:8080 0x', lower(hex(event_id)),
- ' <', event_type, '> [', event_type, '] x=', cast(event_id as {S}), ' (', cast(user_id as {S}), ') -', cast(user_id as {S}), ' ', event_type, cast(user_id as {S}), ',', cast(event_id as {S}))"""
+ ' from ', {IP6}, ' <', event_type, '> [', event_type, '] x=', cast(event_id as {S}), ' (', cast(user_id as {S}), ') -', cast(user_id as {S}), ' ', event_type, cast(user_id as {S}), ',', cast(event_id as {S}))"""
+RICH = RICH.replace("{IP6}", IP6)
 _TS = {"string": "date_format(ts, 'MMM dd HH:mm:ss')", "varchar": "strftime(ts, '%b %d %H:%M:%S')"}
 
 
@@ -95,6 +99,16 @@ def _levels(d: DataFrame) -> DataFrame:
 
 _names = lambda n: "[" + ", ".join(f"'{x}'" for x in n) + "]"
 _add("facility_severity", _over(_levels), f"SELECT event_id, CAST(event_id % 23 AS INTEGER) AS facility, CAST(user_id % 8 AS INTEGER) AS severity, {_names(parsing.FACILITIES)}[CAST(event_id % 23 + 1 AS INTEGER)] AS facility_name, {_names(parsing.SEVERITIES)}[CAST(user_id % 8 + 1 AS INTEGER)] AS severity_name FROM events")
+
+
+def _level_numbers(d: DataFrame) -> DataFrame:
+    names = F.array(*map(F.lit, parsing.SEVERITIES))
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z '"), (F.col("event_id") % 23).cast("string"), F.lit(" "), F.get(names, F.col("user_id") % 8), F.lit(" p[1][2]: m"))
+    got = parsing.parse_lines(d.select("event_id", text.alias("value")), "${ISODATE} ${FACILITY_NUM} ${SEVERITY} ${MESSAGE}")
+    return got.select("event_id", F.unix_micros("ts").alias("us"), "facility", "severity", "process", "pid")
+
+
+_add("level_numbers", _over(_level_numbers), "SELECT event_id, epoch_us(date_trunc('second', ts)) AS us, CAST(event_id % 23 AS INTEGER) AS facility, CAST(user_id % 8 AS INTEGER) AS severity, 'p[1]' AS process, 2 AS pid FROM events")
 _HOST = "CASE event_id % 3 WHEN 0 THEN concat('10.0.', cast(user_id % 256 as {S}), '.1') WHEN 1 THEN concat('2001:db8::', lower(hex(user_id + 1))) ELSE concat('host', cast(user_id as {S}), '.local') END"
 _add("log_hosts", _over(lambda d: d.select("event_id", parsing.log_host(F.expr(_HOST.replace("{S}", "string"))).alias("h")).select("event_id", "h.kind", "h.addr")), f"SELECT event_id, ['ipv4', 'ipv6', 'name'][CAST(event_id % 3 + 1 AS INTEGER)] AS kind, {_HOST.replace('{S}', 'varchar')} AS addr FROM events")
 _add("host_kinds", _over(lambda d: d.select("event_id", parsing.host_kind(F.expr(_HOST.replace("{S}", "string"))).alias("kind"))), "SELECT event_id, ['ipv4', 'ipv6', 'name'][CAST(event_id % 3 + 1 AS INTEGER)] AS kind FROM events")
@@ -103,6 +117,17 @@ _add("iso_times_compat", _over(lambda d: d.select("event_id", F.unix_micros(pars
 _add("custom_times", _over(lambda d: d.select("event_id", F.unix_micros(parsing.custom_time(F.date_format("ts", "dd/MM/yyyy HH:mm:ss"), "%d/%m/%Y %H:%M:%S")).alias("us"))), "SELECT event_id, epoch_us(date_trunc('second', ts)) AS us FROM events")
 
 
+def _log_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written to a file and read again by the syslog reader."""
+    path = shared_path(spark, "log")
+    loglines(spark, sf_dir).select("value").write.text(path)
+    got = sinks.read_syslog(spark, path, FORMAT, year=2000, hosts=False)
+    return got.groupBy("process", "pid", "message", F.col("_error").cast("int").alias("error")).agg(F.count("*").alias("n"))
+
+
+_add("read_syslog", _log_file, f"{_V} SELECT 'svc-' || event_type AS process, CAST(user_id AS INTEGER) AS pid, msg AS message, 0 AS error, count(*) AS n FROM l GROUP BY ALL")
+
+
 # masking
 def _re2(mask: masking.Mask) -> str:
     pattern = mask.pattern
@@ -121,7 +146,9 @@ def _mask_sql(mask: masking.Mask, text: str) -> str:
 
 
 for _m in masking.MASKS.values():
-    _add(f"mask_{_m.name}", _over(lambda d, m=_m: d.select("event_id", m(F.col("rich")).alias("masked"))), None if _m.name == "ipv6" else f"{_V} SELECT event_id, {_mask_sql(_m, 'rich')} AS masked FROM l")
+    _add(f"mask_{_m.name}", _over(lambda d, m=_m: d.select("event_id", m(F.col("rich")).alias("masked"))), None if _m.name in ("ipv6", "libvirtd") else f"{_V} SELECT event_id, {_mask_sql(_m, 'rich')} AS masked FROM l")
+SQL["mask_ipv6"] = f"SELECT event_id, {RICH.replace(IP6, chr(39) + '$v $v' + chr(39)).replace('{S}', 'varchar')} AS masked FROM events"
+_add("mask_libvirtd", _over(lambda d: d.select("event_id", masking.LIBVIRTD(F.concat(F.expr(LIBVIRTD.replace("{S}", "string")), "msg")).alias("masked"))), f"{_V} SELECT event_id, '$v ' || msg AS masked FROM l")
 
 
 def _chain_sql(chain: masking.MaskChain, text: str) -> str:
@@ -133,7 +160,13 @@ def _chain_sql(chain: masking.MaskChain, text: str) -> str:
 _add("mask_chain", _over(lambda d: d.select("event_id", masking.DEFAULT(F.col("msg")).alias("masked"))), f"{_V} SELECT event_id, {_chain_sql(masking.DEFAULT, 'msg')} AS masked FROM l")
 _add("mask_chain_nested", _over(lambda d: d.select("event_id", masking.NESTED(F.col("msg")).alias("masked"))), f"{_V} SELECT event_id, {_chain_sql(masking.NESTED, 'msg')} AS masked FROM l")
 _add("extract_values", _over(lambda d: d.select("event_id", F.array_join(masking.HEX.extract(F.col("rich")), "\u0001").alias("hex"), F.array_join(masking.IPV4.extract(F.col("rich")), "\u0001").alias("ipv4"), F.array_join(masking.POINTED.extract(F.col("rich")), "\u0001").alias("pointed"))), f"{_V} SELECT event_id, array_to_string(regexp_extract_all(rich, '{_re2(masking.HEX)}'), chr(1)) AS hex, array_to_string(regexp_extract_all(rich, '{_re2(masking.IPV4)}'), chr(1)) AS ipv4, array_to_string(regexp_extract_all(rich, '{_re2(masking.POINTED)}'), chr(1)) AS pointed FROM l")
-_add("extract_chain", _over(lambda d: d.select("event_id", F.array_join(masking.DEFAULT.extract(F.col("msg")), "\u0001").alias("found"))))
+_add(
+    "extract_chain",
+    _over(lambda d: d.select("event_id", F.array_join(masking.DEFAULT.extract(F.col("msg")), "\u0001").alias("found"))),
+    """SELECT event_id, CASE event_type WHEN 'click' THEN '' WHEN 'signup' THEN '' WHEN 'view' THEN '[req ' || event_id || ']'
+ WHEN 'error' THEN concat_ws(chr(1), cast(cast(value as decimal(10,2)) as varchar) || ' ms', '10.0.' || user_id % 256 || '.' || event_id % 256, '0x' || lower(hex(event_id)))
+ ELSE concat_ws(chr(1), event_id % 512 || ' KB', event_id, split_part(cast(cast(value as decimal(10,2)) as varchar), '.', 2)) END AS found FROM events""",
+)
 _add("distinct_masked", _over(lambda d: pipelines.masked_distinct(d.select(F.col("msg").alias("value")))), f"{_V} SELECT DISTINCT {_chain_sql(masking.DEFAULT, 'msg')} AS value FROM l")
 _add("filtered_lines", _over(lambda d: d.select("event_id", F.concat(F.lit("svc-"), "event_type").alias("process"), F.col("user_id").alias("pid"), F.col("msg").alias("message")).transform(sinks.filtered_lines)), f"{_V} SELECT 'Process ''svc-' || event_type || ''' with PID ''' || user_id || ''' wrote ''' || msg || '''' AS value FROM l")
 
@@ -164,6 +197,12 @@ _add("message_distance", _parts(lambda d: _name_pairs(d).select("a", "b", F.roun
 _add("logistic_decrease", _over(lambda d: d.select("event_id", F.round(distance.logistic_decrease(F.col("event_id") % 7, -1.0, 0.5), 12).alias("w"))), "SELECT event_id, round(1 / (1 + exp(0.5 * (event_id % 7) + 1)), 12) AS w FROM events")
 _add("edit_path", _parts(lambda d: _name_pairs(d).select("a", "b", distance.edit_path("a", "b").alias("p")).select("a", "b", F.col("p.distance").cast("long").alias("d"), F.length(F.regexp_replace("p.ops", "R", "")).cast("long").alias("edits"))), f"SELECT a, b, levenshtein(a, b) AS d, levenshtein(a, b) AS edits FROM ({_PAIR})")
 _add("word_edit_path", _parts(lambda d: _name_pairs(d).select("a", "b", distance.word_edit_path(tokens.words(F.col("a")), tokens.words(F.col("b"))).alias("p")).select("a", "b", "p.distance", "p.ops")), f"WITH p AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM ({_PAIR})) SELECT a, b, CAST((x[1] <> y[1])::INT + (x[2] <> y[2])::INT AS INTEGER) AS distance, (CASE WHEN x[1] = y[1] THEN 'R' ELSE 'S' END) || (CASE WHEN x[2] = y[2] THEN 'R' ELSE 'S' END) AS ops FROM p")
+_ABC = """CASE event_id % 5 WHEN 0 THEN 'claw is my lawn' WHEN 1 THEN 'my lawn so far' WHEN 2 THEN 'claw my far' WHEN 3 THEN '' ELSE 'lawn' END"""
+_add(
+    "edit_scripts",  # deletions and insertions too
+    _over(lambda d: d.select("event_id", distance.word_edit_path(tokens.words(F.lit("clawn is my lawn so far")), tokens.words(F.expr(_ABC))).alias("w"), distance.edit_path(F.lit("claw"), F.lit("lawn")).alias("c")).select("event_id", F.col("w.distance").alias("words"), F.col("w.ops").alias("script"), F.col("c.ops").alias("chars"))),
+    "SELECT event_id, CAST([3, 2, 4, 6, 5][CAST(event_id % 5 + 1 AS INTEGER)] AS INTEGER) AS words, ['SRRRDD', 'DDRRRR', 'DSRDDR', 'DDDDDD', 'DDDRDD'][CAST(event_id % 5 + 1 AS INTEGER)] AS script, 'DRRRI' AS chars FROM events",
+)
 _add("word_distance", _parts(lambda d: _name_pairs(d).select("a", "b", distance.sequence_distance()(tokens.words(F.col("a")), tokens.words(F.col("b"))).alias("d"))), f"WITH p AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM ({_PAIR})) SELECT a, b, CAST((x[1] <> y[1])::INT + (x[2] <> y[2])::INT AS INTEGER) AS d FROM p")
 _add("common_subsequence", _parts(lambda d: _name_pairs(d).select("a", "b", F.array_join(distance.common_subsequence()(F.array(tokens.words(F.col("a")), tokens.words(F.col("b")))), " ").alias("lcs"))), f"WITH p AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM ({_PAIR})) SELECT a, b, array_to_string(list_filter([CASE WHEN x[1] = y[1] THEN x[1] END, CASE WHEN x[2] = y[2] THEN x[2] END], lambda z: z IS NOT NULL), ' ') AS lcs FROM p")
 
@@ -174,7 +213,20 @@ _add(
     _parts(lambda d: clustering.cluster_flat(d.select(F.col("p_name").alias("message")), cutoff=0.3)),
     f"WITH RECURSIVE {_EDGES}, r(m, x) AS (SELECT DISTINCT p_name, p_name FROM part UNION SELECT s.b, r.x FROM r JOIN s ON s.a = r.m), c AS (SELECT m, min(x) AS least FROM r GROUP BY m) SELECT m AS message, CAST(dense_rank() OVER (ORDER BY least) - 1 AS INTEGER) AS cluster_id FROM c",
 )
-_add("cluster_by_process", _parts(lambda d: clustering.cluster_by_process(d.select(F.col("p_brand").alias("process"), F.col("p_name").alias("message"))).select("process", "message", "cluster_id", F.round("cutoff", 9).alias("cutoff"))))
+_add(
+    "cluster_by_process",
+    _parts(lambda d: clustering.cluster_by_process(d.select(F.col("p_brand").alias("process"), F.col("p_name").alias("message"))).select("process", "message", "cluster_id", F.round("cutoff", 9).alias("cutoff"))),
+    """WITH RECURSIVE i AS (SELECT DISTINCT p_brand AS p, p_name AS m FROM part),
+w AS (SELECT x.p, x.m AS a, y.m AS b, string_split(x.m, ' ') AS u, string_split(y.m, ' ') AS v FROM i x JOIN i y ON x.p = y.p AND x.m < y.m),
+k AS (SELECT p, a, b, u, v, unnest(range(1, greatest(len(u), len(v)) + 1)) AS k FROM w),
+d AS MATERIALIZED (SELECT p, a, b, round(sum(levenshtein(coalesce(u[k], ''), coalesce(v[k], '')) / (1 + exp(k + 1))), 12) AS d FROM k GROUP BY p, a, b),
+o AS (SELECT p, d, row_number() OVER (PARTITION BY p ORDER BY d) - 1 AS j, count(*) OVER (PARTITION BY p) AS n FROM d), mid AS (SELECT p, d AS mid FROM o WHERE j = n // 2),
+h AS (SELECT p, CASE WHEN bool_or(d < mid) THEN max(CASE WHEN d < mid THEN d END) ELSE any_value(mid) END AS hi FROM d JOIN mid USING (p) GROUP BY p),
+c(p, hi, k) AS (SELECT p, hi, 0 FROM h UNION ALL SELECT p, (SELECT max(d.d) FROM d WHERE d.p = c.p AND d.d <= ((SELECT avg(d.d) FROM d WHERE d.p = c.p AND d.d <= c.hi) + (SELECT avg(d.d) FROM d WHERE d.p = c.p AND d.d > c.hi)) / 2), k + 1 FROM c WHERE k < 30),
+cut AS (SELECT p, hi FROM c WHERE k = 30), e AS (SELECT p, a, b FROM d JOIN cut USING (p) WHERE d < hi), s AS (SELECT p, a, b FROM e UNION ALL SELECT p, b, a FROM e),
+r(p, m, x) AS (SELECT p, m, m FROM i UNION SELECT r.p, s.b, r.x FROM r JOIN s ON s.p = r.p AND s.a = r.m), f AS (SELECT p, m, min(x) AS least FROM r GROUP BY p, m)
+SELECT f.p AS process, m AS message, CAST(dense_rank() OVER (PARTITION BY f.p ORDER BY least) - 1 AS INTEGER) AS cluster_id, round(hi, 9) AS cutoff FROM f JOIN cut ON cut.p = f.p""",
+)
 _add("cluster_nested", _parts(lambda d: clustering.cluster_nested(d.select(F.col("p_brand").alias("process"), F.col("p_name").alias("message")))))
 _add("nested_report", _parts(lambda d: sinks.nested_report(clustering.leaves(clustering.cluster_nested(d.select(F.col("p_brand").alias("process"), F.col("p_name").alias("message")))))))
 _add("agglomerative", _parts(lambda d: clustering.agglomerative(d.select(F.col("p_brand").alias("process"), F.col("p_name").alias("message")), ["process"], "message", lambda a, b: F.levenshtein(a, b) < 3)),
@@ -198,15 +250,31 @@ _add("reachable", lambda spark, sf_dir: clustering.reachable(spark.read.parquet(
      "SELECT 'r' || min(r_regionkey) AS node FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = (SELECT min(r_regionkey) FROM region)")
 
 # template mining
-EXPECTED = ["Directory <*> was viewed [$v]", "Failed request $v from $v after $v", "Login of user <*>, status: <*>", "User <*> logged on successfully", "User <*> saved state successfully", "order id=$v amount=<*> size=$v"]
 _kind = "CASE event_type WHEN 'error' THEN 'Failed request $v from $v after $v' WHEN 'view' THEN 'Directory <*> was viewed [$v]' WHEN 'click' THEN 'Login of user <*>, status: <*>' WHEN 'signup' THEN CASE WHEN event_id % 2 = 0 THEN 'User <*> logged on successfully' ELSE 'User <*> saved state successfully' END ELSE 'order id=$v amount=<*> size=$v' END"
 _lines = lambda d: d.select(F.col("msg").alias("value"))
 _add("mine_templates", _over(lambda d: pipelines.mine_log(_lines(d)).select("template")), f"SELECT DISTINCT {_kind} AS template FROM events")
 _add("mine_templates_unsplit", _over(lambda d: pipelines.mine_log(_lines(d), split=False).select("template")), f"SELECT DISTINCT CASE event_type WHEN 'signup' THEN 'User <*> <*> <*> successfully' ELSE {_kind} END AS template FROM events")
 _add("template_frequencies", _over(lambda d: templates.matches(d.select(masking.DEFAULT(F.col("msg")).alias("value")), pipelines.mine_log(_lines(d))).groupBy("template").agg(F.count("*").alias("n"))), f"SELECT {_kind} AS template, count(*) AS n FROM events GROUP BY 1")
-_add("template_params", _over(lambda d: pipelines.mine_log(_lines(d)).select("template", F.explode("params").alias("pos", "vals")).select("template", "pos", F.array_join("vals", "\u0001").alias("vals"))))
+#: The values at each wildcard; of a position that alone has more than 500, those of the first 501 lines.
+_VALUES = """p AS (SELECT 'Directory <*> was viewed [$v]' AS t, 1 AS pos, '/srv/u' || user_id || '/d' || event_id % 97 AS v FROM events WHERE event_type = 'view'
+ UNION SELECT 'Login of user <*>, status: <*>', 3, 'u' || user_id FROM events WHERE event_type = 'click'
+ UNION SELECT 'Login of user <*>, status: <*>', 5, CASE WHEN value >= 50 THEN 'successful' ELSE 'failed' END FROM events WHERE event_type = 'click'
+ UNION SELECT CASE WHEN event_id % 2 = 0 THEN 'User <*> logged on successfully' ELSE 'User <*> saved state successfully' END, 1, 'u' || user_id FROM events WHERE event_type = 'signup'
+ UNION SELECT 'order id=$v amount=<*> size=$v', 4, split_part(cast(cast(value as decimal(10,2)) as varchar), '.', 1) || '.$v' FROM events WHERE event_type NOT IN ('error', 'view', 'click', 'signup')),
+q AS (SELECT *, row_number() OVER (PARTITION BY t, pos ORDER BY v) AS r, count(*) OVER (PARTITION BY t, pos) AS n FROM p)"""
+_add(
+    "template_params",
+    _over(lambda d: pipelines.mine_log(_lines(d)).select("template", F.explode("params").alias("pos", "vals")).select("template", "pos", F.array_join("vals", "\u0001").alias("vals"))),
+    f"WITH {_VALUES} SELECT t AS template, CAST(pos AS INTEGER) AS pos, string_agg(v, chr(1) ORDER BY v) AS vals FROM q WHERE r <= 501 GROUP BY t, pos",
+)
 _add("template_lines", _over(lambda d: sinks.template_lines(pipelines.mine_log(_lines(d)), "T: ")), f"SELECT DISTINCT 'T: ' || {_kind} AS value FROM events")
-_add("template_param_lines", _over(lambda d: sinks.template_param_lines(pipelines.mine_log(_lines(d)))))
+_add(
+    "template_param_lines",
+    _over(lambda d: sinks.template_param_lines(pipelines.mine_log(_lines(d)))),
+    f"""WITH {_VALUES}, a AS (SELECT t, pos, chr(10) || '  Params at pos ' || pos || ': ' || string_agg(v, ' ' ORDER BY v) AS x, max(n) AS n FROM q WHERE r <= 501 GROUP BY t, pos)
+SELECT CASE WHEN t LIKE 'User %' THEN 'Split: ' ELSE '' END || t || string_agg(x, '' ORDER BY pos) || CASE WHEN max(n) > 500 THEN chr(10) || '  Positions with max num of tokens exceeded: ' || string_agg(CASE WHEN n > 500 THEN pos END, ' ' ORDER BY pos) ELSE '' END AS value FROM a GROUP BY t
+UNION ALL SELECT DISTINCT 'Failed request $v from $v after $v' FROM events WHERE event_type = 'error'""",
+)
 _add("mine_documents", _docs(lambda d: templates.TemplateMiner(0.5, False, True).mine(d.select(F.explode(F.split("text", "\n")).alias("value")).distinct()).select("n_tokens", "kind", "token", "template", "lines")))
 
 # hashes and shared calls

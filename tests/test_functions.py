@@ -97,3 +97,8 @@ def test_hashes_and_shared_calls(spark):
     assert r.s and not r.o
     got = hashing.call_once(df, ["a", "b"], lambda a, b: a + b, "t", symmetric=True)
     assert sorted(tuple(x) for x in got.collect()) == [(1, 2, 3), (1, 2, 3), (2, 1, 3), (3, 4, 7)]
+
+
+def test_edit_distances_of_many_words():
+    words = ["", "claw", "lawn", "clawn", "lawnmower", "é", "help", "halp"]
+    assert kernels.edit_distances(words).tolist() == [[int(kernels.edit_table(a, b)[-1, -1]) for b in words] for a in words]

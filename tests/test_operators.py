@@ -77,6 +77,11 @@ def test_parsing(spark):
     assert [r._error for r in got] == [False] * 3 + [True] * 4
     assert [(r.process, r.pid, r.message, r.origin.kind) for r in got[:3]] == [("sshd", 42, "Accepted key", "name"), ("postfix/smtpd", None, "x: y", "ipv4"), ("p", 0, "m", "ipv6")]
     assert got[0].ts == datetime.datetime(2018, 5, 2, 12, 41, 35)
+    several = spark.createDataFrame([("p[1][2]: m",), ("[7]: m",), ("p[1]x]: m",), ("p]: m",), ("p[1][]: m",)], "v string")
+    parts = parsing.split_message(F.col("v"))
+    assert [tuple(r) for r in several.select("v", *[c.alias(k) for k, c in parts.items()]).collect()] == [
+        ("p[1][2]: m", "p[1]", 2, "m", False), ("[7]: m", "", 7, "m", False), ("p[1]x]: m", None, None, None, True), ("p]: m", None, None, None, True), ("p[1][]: m", "p[1]", 0, "m", False),
+    ]
     for bad in ("${DATE", "${NOPE}", "${MESSAGE} ${DATE}"):
         with pytest.raises(parsing.FormatError):
             parsing.compile_format(bad)
