@@ -61,8 +61,7 @@ def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _documents(spark, sf_dir)
-    return quality_rules.apply(docs, quality_rules.fit(docs, _labels(spark, sf_dir)))
+    return quality_rules.fit_and_apply(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,6 +94,9 @@ def _again(keys: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(doc[order[1:][same]], minlength=n)
 
 
+#: Names of statistics(), in the order in which rows of them compare.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_unique", "upper", "lower", "digit", "stop", "loud", "mark", "high")
+
 #: Columns of features(), all of them ratios or logarithms.
 FEATURES = ("words_log", "word_length", "symbols", "upper", "digits", "stops", "loud", "marks", "high", "dup_lines", "repeats", "unique", "line_words")
 

@@ -324,6 +324,41 @@ def test_quality_rules_find_what_good_rows_lack(spark):
     assert sum(r.kept for r in unseen if r.doc_id % 8) >= 0.97 * 350 and sum(r.kept for r in unseen if r.doc_id % 8 == 0) <= 2
 
 
+def test_quality_rules_learn_from_every_labelled_row(spark):
+    """21,000 good labels: all are in the forest and behind the threshold, once each, and both are those of plain numpy."""
+    rng = random.Random(4)
+    words = [a + b for a in ("the", "a", "river", "runs", "home", "light", "of") for b in "abcdefgh"]
+    texts = [". ".join(" ".join(rng.choice(words) for _ in range(9)).capitalize() for _ in range(7)) + " #&" * (k % 5 == 0) * (k % 4) for k in range(300)]
+    n = 21_000
+    df = spark.createDataFrame([(i, texts[i % 300]) for i in range(n + 100)] + [(3, texts[4]), (3, texts[3] + " longer"), (None, texts[5])], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(n)] + [(i, 0) for i in (*range(7), n, n + 1)] + [(n + 2, None), (None, 1), (n + 999, 1)], "doc_id long, quality int")
+    model = quality_rules.fit(df, labels)
+    s = textstats.statistics(pa.array(texts))
+    x = textstats.features(s)[:, quality_rules.FOREST]
+    least = min((3, 4), key=lambda k: [s[c][k] for c in textstats.COUNTS])
+    of = np.array([i % 300 for i in range(n)])
+    of[3] = least
+    assert not quality_rules.base_failed(s["n_words"], s["n_repeat_words"]).any() and model.forest.psi == n
+    for t, node in enumerate(model.forest.ends(x)):
+        counts = np.bincount(node[of], minlength=model.forest.depth.shape[1])
+        for leaf in np.flatnonzero(counts):
+            assert np.isclose(model.forest.depth[t, leaf], int(leaf + 1).bit_length() - 1 + quality_rules._mean_path(counts[leaf]))
+    scores = model.forest.scores(x)
+    low = np.sort(scores[of])[int(np.ceil(0.995 * n)) - 1]
+    above = scores[scores > low]
+    assert model.threshold == ((low + above.min()) / 2 if len(above) else low)
+    together = quality_rules.fit_and_apply(df, labels)
+    assert sorted(together.collect(), key=str) == sorted(quality_rules.apply(df, model).collect(), key=str)
+
+
+def test_the_score_of_a_rank(spark):
+    rng = random.Random(6)
+    values = [rng.random() ** 9 for _ in range(5000)] + [0.25] * 700 + [0.25 + 2**-53, 1e-300]
+    scores = spark.createDataFrame([(v,) for v in values], "score double")
+    for rank in (1, 2, 17, 4000, 5000, len(values)):
+        assert quality_rules.ranked(scores, rank) == sorted(values)[rank - 1]
+
+
 def test_one_row_an_id_comes_to_the_driver(spark):
     df = spark.createDataFrame([(1, f"text {'word ' * (k % 7)}") for k in range(5000)] + [(2, "other text")], "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, quality int")
