@@ -41,8 +41,10 @@ _LINES = 1 << 31
 
 def occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, line_no, line) for every line with a non-blank character; mark stands for the text. Null texts have no lines."""
-    lines = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    # the mark is made before the lines are, so once for each text
+    texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    lines = texts.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.where(F.ltrim(F.col("line"), F.lit(" \t\n\x0b\x0c\r")) != "")
 
 
 def _place(id_: Column, line_no: Column) -> Column:
@@ -144,7 +146,7 @@ def _sketch(text: Column) -> list[Column]:
     """Two numbers for a text. Of two texts' as many bits differ as the counts do, or fewer: a count is a code of eight bits that goes round."""
     codes = []
     for c in _COMMON:
-        n = (F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).bitwiseAND(15)
+        n = (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit("")))).bitwiseAND(15)
         codes.append(F.get(F.lit([(1 << k) - 1 if k <= 8 else 256 - (1 << (k - 8)) for k in range(16)]), n).cast("long"))
     return [reduce(Column.bitwiseOR, [F.shiftleft(c, 8 * k) for k, c in enumerate(codes[i::2])]).alias(f"s{i}") for i in range(2)]
 
@@ -263,16 +265,39 @@ def within_many(pairs: DataFrame) -> DataFrame:
     return both.where(F.expr(f"levenshtein({rest('a', '_n')}, {rest('b', '_m')}, edits) >= 0")).select("a", "b")
 
 
+#: Kinds that code points are counted by, by a hash whose seed tells the common ones apart: WORDS numbers hold LANES counts of six bits each.
+KIND_SEED, WORDS, LANES = 819, 6, 6
+
+
 def _grams(texts: DataFrame) -> DataFrame:
-    """(id, n, g0 to g3) of (id, line): for each of 256 numbers whether an odd number of the line's pairs of neighbours has it.
+    """(id, n, g0 to g3, c0 to c5) of (id, line): for each of 256 numbers whether an odd number of the line's pairs of neighbours has it, and its code points by kind.
 
-    An edit changes four pairs at most, so texts within e edits differ in 4 * e of the numbers at most.
+    The last code point's neighbour is the end. An edit changes four pairs at most, so texts within e edits differ in
+    4 * e of the numbers at most. A count may run over into the next one: the sum tells of their differences all the same.
     """
     wide = texts.select("id", F.length("line").alias("n"), F.encode("line", "UTF-32").alias("wide"))
-    each = wide.select("id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - 2))).alias("at"), "wide")
-    hashed = each.select("id", "n", F.xxhash64(F.expr("substring(wide, at * 4 + 1, 8)")).alias("h"))
-    bit = F.expr("shiftleft(1L, int(h & 63))")
-    return hashed.groupBy("id", "n").agg(*[F.bit_xor(F.when(F.shiftright("h", 6).bitwiseAND(3) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"g{k}") for k in range(4)])
+    each = wide.select("id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - 1))).alias("at"), "wide")
+    kind = F.pmod(F.hash(F.lit(KIND_SEED), F.expr("substring(wide, at * 4 + 1, 4)")), F.lit(WORDS * LANES))
+    hashed = each.select("id", "n", F.xxhash64(F.expr("substring(wide, at * 4 + 1, 8)")).alias("h"), kind.alias("kind"))
+    bit, one = F.expr("shiftleft(1L, int(h & 63))"), F.expr(f"shiftleft(1L, 6 * (kind % {LANES}))")
+    pairs = [F.bit_xor(F.when(F.shiftright("h", 6).bitwiseAND(3) == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"g{k}") for k in range(4)]
+    counts = [F.sum(F.when(F.expr(f"kind div {LANES}") == k, one).otherwise(F.lit(0).cast("long"))).alias(f"c{k}") for k in range(WORDS)]
+    return hashed.groupBy("id", "n").agg(*pairs, *counts)
+
+
+def _alike(edits: Column) -> Column:
+    """Whether the counts of a and b by kind allow texts that are `edits` apart.
+
+    An edit takes one code point from a text at most, and adds one at most: neither has more than `edits` too many. Where
+    all counts differ by less than 32 they are read off the difference of the sums; texts that are near do, up to 31 edits.
+    """
+    middle = sum(32 << (6 * k) for k in range(LANES))
+    words = []
+    for w in range(WORDS):
+        gap = f"(ca{w} - cb{w} + {middle})"
+        # 31 in each lane of 32 at least: what a has too many stays; numbers modulo 63 are the sums of their lanes, or less
+        words.append(f"({gap} & (({gap} & {middle}) - shiftright({gap} & {middle}, 5))) % 63")
+    return (edits > 31) | (F.expr(" + ".join(words)) <= F.least(edits, edits + F.col("na") - F.col("nb")))
 
 
 def _links(lines: DataFrame, steps: Steps) -> DataFrame:
@@ -281,9 +306,9 @@ def _links(lines: DataFrame, steps: Steps) -> DataFrame:
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     texts = materialize(lines.select("id", "line").join(_few(ends), "id", "left_semi"), "line-texts")
     grams = _few(_grams(texts))
-    side = lambda x: grams.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"g{k}").alias(f"g{x}{k}") for k in range(4)])
+    side = lambda x: grams.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"g{k}").alias(f"g{x}{k}") for k in range(4)], *[F.col(f"c{k}").alias(f"c{x}{k}") for k in range(WORDS)])
     told = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("edits", _edits(F.least("na", "nb"), steps))
-    told = told.where(F.expr(" + ".join(f"bit_count(ga{k} ^ gb{k})" for k in range(4))) <= 4 * F.col("edits")).select("a", "b", "edits")
+    told = told.where(F.expr(" + ".join(f"bit_count(ga{k} ^ gb{k})" for k in range(4))) <= 4 * F.col("edits")).where(_alike(F.col("edits"))).select("a", "b", "edits")
     text = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"line_{x}"))
     both = materialize(told.join(text("b"), "b").join(text("a"), "a"), "line-both")
     close = [within(both.where(F.col("edits") == e), e) for e in range(1, AUTOMATON + 1)]

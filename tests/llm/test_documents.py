@@ -533,6 +533,38 @@ def test_very_long_lines_and_hot_keys(spark, monkeypatch):
     assert got == {0: 1, 1: 1, 2: 0, 3: 0} | {k: want[k] for k, _ in data[4:]}
 
 
+def test_lines_that_differ_in_code_points_are_not_compared(spark, monkeypatch):
+    """Of lines that share most pairs of neighbours only those are verified whose code points allow it."""
+    rng = random.Random(12)
+    words = ["the", "river", "runs", "home", "light", "of", "meadow", "under"]
+    base = " ".join(rng.choice(words) for _ in range(130))[:560]
+    data = [(1, base + " " + "x" * 14), (2, base + " " + "z" * 14), (3, base + " " + "x" * 8 + "z" * 6)]
+    compared, whole = [], linededup.within_many
+    monkeypatch.setattr(linededup, "within_many", lambda pairs: compared.append(pairs.count()) or whole(pairs))
+    got = {r.doc_id: r.n_links for r in linededup.dedup_lines(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert linededup.edits_of(575) == 8 and got == {1: 1, 2: 1, 3: 2}
+    assert compared == [2]
+
+
+def test_counts_of_code_points_refuse_no_near_pair(spark):
+    """Also where a code point occurs so often that its count runs over into the next ones."""
+    rng = random.Random(13)
+    pairs, letters = [], " etaoinsx.,é水" + chr(0x1F600)
+    for k in range(400):
+        e = rng.choice([1, 2, 3, 5, 8, 13, 20, 31, 40])
+        a = b = "".join(rng.choice(letters[: rng.randrange(1, len(letters))]) for _ in range(rng.choice([1, 9, 70, 700, 5000])))
+        for _ in range(e):
+            at, c = rng.randrange(len(b) + 1), rng.choice(letters)
+            b = rng.choice([b[:at] + c + b[at:], b[:at] + b[at + 1 :], b[:at] + c + b[at + 1 :], b[:at] + "x" + b[at:]]) or "x"
+        pairs.append((k, e, a, b))
+    df = spark.createDataFrame(pairs, "k long, edits int, a string, b string")
+    side = lambda x: (g := linededup._grams(df.selectExpr("k as id", f"{x} as line"))).toDF(*["k" if c == "id" else c[0] + x + c[1:] for c in g.columns])
+    told = df.join(side("a"), "k").join(side("b"), "k").select("k", linededup._alike(df.edits).alias("near"), "edits", *[f"g{x}{i}" for x in "ab" for i in range(4)]).collect()
+    assert len(told) == 400 and all(r.near for r in told)
+    flips = lambda r: sum(((r[f"ga{i}"] ^ r[f"gb{i}"]) & (2**64 - 1)).bit_count() for i in range(4))
+    assert all(flips(r) <= 4 * r.edits for r in told)
+
+
 def test_places_meet_whatever_the_edits():
     """For each way in which edits may move a segment, two lines have a place in common."""
     for e in (1, 2, 3, 5, 8, 13, 20):
