@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm.common import byte_slices
+from logweave.llm.common import SMALL_SLICE_BYTES, byte_slices
 from logweave.llm.quality_rules import labelled_features
 from logweave.llm.textstats import features, statistics
 
@@ -95,7 +95,7 @@ def score(df: DataFrame, model: RankModel, id_col: str = "doc_id", text_col: str
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, held_out boolean, score double, predicted int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, text_col):
+        for part in byte_slices(batches, text_col, SMALL_SLICE_BYTES):
             p = model.probability(features(statistics(part.column(text_col))))
             out = pa.array([is_held_out(i) for i in part.column(id_col).to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([part.column(id_col), out, pa.array(p), pa.array((p >= AT).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])
@@ -112,7 +112,7 @@ def keep_good(df: DataFrame, model: RankModel, text_col: str = "text") -> DataFr
     schema = df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in byte_slices(batches, text_col):
+        for part in byte_slices(batches, text_col, SMALL_SLICE_BYTES):
             p = model.probability(features(statistics(part.column(text_col))))
             yield part.filter(pa.array(p >= AT))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from logweave.llm.common import byte_slices, filled
+from logweave.llm.common import SMALL_SLICE_BYTES, byte_slices, filled
 from logweave.llm.tokenize import encoder
 
 #: Tokens of a group at most (plus one document's remainder): 16 MB of ids; and pieces: another 16 MB.
@@ -89,7 +89,7 @@ def pack(df: DataFrame, path: str, end_id: int = 0, capacity: int = 1024, id_col
             columns = list(zip(*rows))
             return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type)] + [pa.array(c, pa.int64()) for c in columns[1:]], names=names)
 
-        for part in byte_slices(batches, text_col):
+        for part in byte_slices(batches, text_col, SMALL_SLICE_BYTES):
             id_type = part.column(id_col).type
             ids, offsets = enc.ids(filled(part.column(text_col)))
             ids = np.ascontiguousarray(ids, "<u4")

@@ -623,3 +623,43 @@ def test_warc_framing():
     squeezed = zlib.compressobj(6, zlib.DEFLATED, 31)
     (bad,) = warc.read_records(io.BytesIO(squeezed.compress(z) + squeezed.flush()))
     assert bad.faults == ["block digest", "payload digest"]
+
+
+def test_classifier_and_packing_memory(spark, monkeypatch):
+    """What a worker takes beside its input stays small, and after each batch free memory is given back."""
+    import tracemalloc
+
+    from logweave.llm import common
+
+    values = np.ones(8 << 20, bool)
+    offsets = np.array([0, 0, 5, 5, 4 << 20, 8 << 20, 8 << 20])
+
+    def peak(f):
+        tracemalloc.start()
+        try:
+            return f(), tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    sums, most = peak(lambda: common.segment_sums(values, offsets))
+    assert sums.tolist() == [0, 5, 0, (4 << 20) - 5, 4 << 20, 0] and most < 10 * len(values)
+    assert common.segment_sums(np.zeros(0, bool), np.zeros(4, np.int64)).tolist() == [0, 0, 0]
+
+    rng, words = random.Random(4), [f"w{k}" for k in range(5000)]
+    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(40)) for _ in range(10)) for _ in range(1600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    given = []
+    monkeypatch.setattr(common, "release_unused", lambda: given.append(1))
+    functions = {}
+
+    class Rows:
+        """Stands for a DataFrame: keeps the Arrow function."""
+
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+
+        def mapInArrow(self, run, schema):  # noqa: N802
+            functions["run"] = run
+
+    classifier.keep_good(Rows(), classifier.fit_pairs(np.zeros((0, 0)), np.zeros(0)))
+    kept, most = peak(lambda: sum(b.num_rows for b in functions["run"](iter([batch, batch]))))
+    assert kept == 2 * len(texts) and most < 40 << 20 and len(given) == 2
