@@ -5,7 +5,7 @@ Lines equal to one another are one class. Of different lines, those that are nea
 into one segment more than that, so whatever line is within reach holds one of them unchanged, close to its place.
 Segments go into an index keyed by the class of the line's length, segment number and content; each line looks in the
 classes within reach at the few substrings that could be the segment there; what meets is verified within the band: with
-a bit-parallel automaton where few edits are allowed, and with Spark's own `levenshtein` and a threshold beyond.
+a bit-parallel automaton where few edits are allowed, and along the diagonals that edits can reach beyond.
 
 Where many lines meet under a substring, they do so in blocks, and a pair is made only where lengths and the numbers of
 common code points allow it. Under a substring that very many lines hold nothing meets: what lies around it takes part in
@@ -249,20 +249,32 @@ def within(pairs: DataFrame, threshold: int, a: str = "line_a", b: str = "line_b
 
 
 def within_many(pairs: DataFrame) -> DataFrame:
-    """The rows of pairs (a, b, line_a, line_b, edits) whose lines are within their edits: by Spark's banded levenshtein.
+    """The rows of pairs (a, b, line_a, line_b, edits) whose lines are within their edits: by furthest steps on diagonals.
 
-    That walks along one line for each code point of the other, so blocks that both begin or end with are left out.
+    After each edit it is known for each diagonal (b's place less a's) how far in a one can come: one step on from where
+    the edit before came on it or on its neighbours, then as far as both lines go on alike, which is found by halving
+    widths. So a pair costs edits * edits steps at most, and hardly more for longer lines. Diagonals that can't lead to
+    both ends with the edits that are left are passed over. Places count from 1, in bytes; a code point takes _w of them.
     """
-    block = 32
-    n, m = F.length("line_a"), F.length("line_b")
-    wide = _bound(pairs.select("a", "b", "edits", "line_a", "line_b", n.alias("_n"), m.alias("_m"), F.encode("line_a", "UTF-32").alias("_a"), F.encode("line_b", "UTF-32").alias("_b")))
-    part = lambda side, at: f"substring(_{side}, 4 * ({at}) + 1, {4 * block})"
-    run = lambda blocks, at_a, at_b: f"if({blocks} < 1, 0, aggregate(sequence(0, {blocks} - 1), 0, (k, i) -> if(k = i and {part('a', at_a)} = {part('b', at_b)}, k + 1, k)))"
-    head = _bound(wide.withColumn("_head", F.expr(run(f"int(least(_n, _m) div {block})", f"i * {block}", f"i * {block}"))))
-    left = f"int((least(_n, _m) - {block} * _head) div {block})"
-    both = _bound(head.withColumn("_tail", F.expr(run(left, f"_n - (i + 1) * {block}", f"_m - (i + 1) * {block}"))))
-    rest = lambda side, size: f"substring(line_{side}, {block} * _head + 1, {size} - {block} * (_head + _tail))"
-    return both.where(F.expr(f"levenshtein({rest('a', '_n')}, {rest('b', '_m')}, edits) >= 0")).select("a", "b")
+    latin = ~(F.col("line_a").rlike(_BEYOND_LATIN) | F.col("line_b").rlike(_BEYOND_LATIN))
+    near = _bound(pairs.where(F.abs(F.length("line_a") - F.length("line_b")) <= F.col("edits")).withColumn("_w", F.when(latin, 1).otherwise(4)))
+    code = lambda line: F.when(F.col("_w") == 1, F.encode(line, "ISO-8859-1")).otherwise(F.encode(line, "UTF-32"))
+    wide = _bound(near.select("a", "b", "edits", "_w", code("line_a").alias("_a"), code("line_b").alias("_b")))
+    longest = "greatest(octet_length(_a), octet_length(_b))"
+    sized = _bound(wide.select("*", F.octet_length("_a").alias("_n"), F.expr("int((octet_length(_b) - octet_length(_a)) div _w)").alias("_gap"), F.expr(f"length(bin({longest} div _w))").alias("_bits")))
+    # a level is an edit: its diagonals, what puts those of the level before in their places, and which of those ends both lines
+    lo = lambda d: f"greatest(-({d}), _gap - edits + {d})"
+    shift = f"if(d = 0, 1, 1 - {lo('d')} + {lo('(d - 1)')})"
+    levels = f"transform(sequence(0, edits), d -> named_struct('ks', sequence({lo('d')} * _w, least(d, _gap + edits - d) * _w, _w), 'pad', slice(array(-9, -9), 1, {shift}), 'end', if(d = 0, 0, _gap - {lo('(d - 1)')})))"
+    alike = "aggregate(if(substring(wa, i, 8 * _w) = substring(wb, i + k, 8 * _w), steps, short), i, (p, s) -> if(substring(wa, p, s) = substring(wb, p + k, s), p + s, p))"
+    begin = "greatest(get(q, x), greatest(get(q, x + 1), get(q, x + 2)) + _w)"
+    furthest = f"element_at(transform(array({begin}), i -> if(substring(wa, i, _w) = substring(wb, i + k, _w), {alike}, i)), 1)"
+    level = f"element_at(transform(array(concat(v.pad, r)), q -> transform(v.ks, (k, x) -> coalesce({furthest}, -9))), 1)"
+    end = f"aggregate({levels}, array(1 - _w), (r, v) -> if(coalesce(get(r, v.end) > _n, size(r) = 0), array(), {level}))"
+    # a column of bytes is copied each time that it is read, a variable isn't
+    for name, value in (("short", "array(4 * _w, 2 * _w, _w)"), ("steps", "transform(sequence(_bits - 1, 0, -1), p -> shiftleft(_w, p))"), ("wb", "_b"), ("wa", "_a")):
+        end = f"element_at(transform(array({value}), {name} -> {end}), 1)"
+    return _bound(sized.select("a", "b", "_n", F.expr(end).alias("_end"))).where("coalesce(get(_end, 0) > _n, size(_end) = 0)").select("a", "b")
 
 
 #: Kinds that code points are counted by, by a hash whose seed tells the common ones apart: WORDS numbers hold LANES counts of six bits each.

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -663,3 +664,40 @@ def test_classifier_and_packing_memory(spark, monkeypatch):
     classifier.keep_good(Rows(), classifier.fit_pairs(np.zeros((0, 0)), np.zeros(0)))
     kept, most = peak(lambda: sum(b.num_rows for b in functions["run"](iter([batch, batch]))))
     assert kept == 2 * len(texts) and most < 40 << 20 and len(given) == 2
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j - 1] + (x != y), last[j] + 1, row[-1] + 1))
+    return row[-1]
+
+
+def test_many_edits_are_exact_for_every_number_and_difference_of_lengths(spark):
+    rng, pairs = random.Random(31), []
+    for k in range(600):
+        letters = ("ab", "abcdefg ", "aé", "a\u0416\U0001F600")[k % 4]
+        a = "".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 2, 5, 9, 30, 70))))
+        b = list(a)
+        for _ in range(rng.randrange(12)):
+            at, kind = rng.randrange(len(b) + 1), rng.randrange(3)
+            b[at : at + (kind != 1)] = [] if kind == 0 else [rng.choice(letters)]
+        pairs.append((2 * k, 2 * k + 1, rng.choice((0, 1, 2, 3, 5, 8, 13)), a, "".join(b)))
+    want = {(a, b) for a, b, edits, x, y in pairs if distance(x, y) <= edits}
+    got = linededup.within_many(spark.createDataFrame(pairs, "a long, b long, edits int, line_a string, line_b string"))
+    assert Counter((r.a, r.b) for r in got.collect()) == Counter(want) and 100 < len(want) < 500
+
+
+def test_verifying_long_lines_does_not_take_the_square_of_their_lengths(spark):
+    rng, pairs = random.Random(32), []
+    for k in range(8):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(60_000))
+        b = "Y" + a[1:30_000] + "XX" + a[30_000:-1] + "Z"
+        pairs += [(4 * k, 4 * k + 1, 5, a, b), (4 * k + 2, 4 * k + 3, 3, a, b)]
+    df = spark.createDataFrame(pairs, "a long, b long, edits int, line_a string, line_b string").coalesce(1).cache()
+    linededup.within_many(df.limit(1)).collect()
+    began = time.perf_counter()
+    got = {(r.a, r.b) for r in linededup.within_many(df).collect()}
+    assert got == {(4 * k, 4 * k + 1) for k in range(8)} and time.perf_counter() - began < 15
