@@ -1,7 +1,8 @@
 """Token ids and counts in Arrow functions, by the tokenizer libraries, over units that are safe to cut.
 
 Cost is dominated by the library's merge loop, so each distinct unit (a word, or a word with the space before it) goes
-through the library once per worker and is remembered, within a bound; texts that have no safe cut go to it whole.
+through the library once per worker and is remembered, within a bound; texts that have no safe cut go to it whole, and
+so do all where an encoder that merges by rank takes the library's place: that is quicker than looking up their units.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ class UnitEncoder:
 
     plan "words": the tokenizer drops white space before it looks for tokens, so no token crosses ASCII white space.
     plan "spaced": byte-level pre-tokens begin at a single space before a non-space; a text with no double space and
-    none at its end can be cut before every space. plan "whole": everything else.
+    none at its end can be cut before every space. plan "ranks": as that, but texts aren't cut, as merging by rank is
+    quick. plan "whole": everything else.
     """
 
     def __init__(self, path: str, end_id: int | None = None):
@@ -47,6 +50,7 @@ class UnitEncoder:
                 spec = json.load(f)
             self.plan = _safe_plan(spec)
             if self.plan == "spaced" and (same := _rank_encoder(spec)) is not None:
+                self.plan = "ranks"
                 whole, special = self._library, [t["content"] for t in spec.get("added_tokens", [])]
                 self._library = lambda texts: [same(t) if not any(x in t for x in special) else whole([t])[0] for t in texts]
         self._clear()
@@ -67,7 +71,7 @@ class UnitEncoder:
 
     def _append(self, ids: list[list[int]]) -> None:
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for unit in ids for i in unit), np.uint32, int(lengths.sum()))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
         while self._units + len(ids) > len(self._starts):
             self._starts, self._lengths = np.resize(self._starts, 2 * len(self._starts)), np.resize(self._lengths, 2 * len(self._lengths))
         while self._used + len(flat) > len(self._flat):
@@ -105,6 +109,8 @@ class UnitEncoder:
         """(unit numbers of all texts in a row, offsets by text), good until _make_room."""
         if self.plan == "whole":
             return self._look_up(texts.to_pylist()), np.arange(len(texts) + 1)
+        if self.plan == "ranks":
+            return self._look_up_once(texts.to_pylist()), np.arange(len(texts) + 1)
         if self.plan == "words":
             parts = pc.ascii_split_whitespace(texts)
             words = parts.flatten().dictionary_encode()

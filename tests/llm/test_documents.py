@@ -701,3 +701,20 @@ def test_verifying_long_lines_does_not_take_the_square_of_their_lengths(spark):
     began = time.perf_counter()
     got = {(r.a, r.b) for r in linededup.within_many(df).collect()}
     assert got == {(4 * k, 4 * k + 1) for k in range(8)} and time.perf_counter() - began < 15
+
+
+def test_texts_are_merged_by_rank_whole_and_not_word_by_word():
+    """Also what is special inside texts, blanks at their ends and words that repeat; every text goes to the encoder once a slice."""
+    from tokenizers import Tokenizer
+
+    rng, given = random.Random(33), []
+    word = lambda: "".join(rng.choice("abcdefghié水") for _ in range(9))
+    texts = [" ".join(word() for _ in range(200)) for _ in range(40)] + ["", " a", "a ", "a  b\n c", "x <|endoftext|> y", "it's 42 \U0001F600!"]
+    enc = tokenize.UnitEncoder(BYTES, 0)
+    library = enc._library
+    enc._library = lambda units: given.extend(units) or library(units)
+    ids, offsets = enc.ids(pa.array(texts))
+    t = Tokenizer.from_file(BYTES)
+    want = [t.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+    assert sorted(given) == sorted(texts)
