@@ -1,4 +1,6 @@
 import datetime
+import pickle
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -154,3 +156,26 @@ def test_cli(spark, tmp_path):
 def test_sinks(spark):
     df = spark.createDataFrame([("p", 3, "m"), ("q", None, "n")], "process string, pid int, message string")
     assert [r.value for r in sinks.filtered_lines(df).collect()] == ["Process 'p' with PID '3' wrote 'm'", "Process 'q' wrote 'n'"]
+
+
+@pytest.mark.parametrize("threshold", [-0.1, 0.0, 0.34, 0.5, 0.75, 1.0])
+def test_index_finds_what_a_scan_does(monkeypatch, threshold):
+    rand = random.Random(5)
+    words = ["&v", "<*>", "a", "b", "c", "k1", "k2"]
+    lines = sorted({"x " + rand.choice([" ", ",", "="]).join(rand.choice(words) for _ in range(6)) + rand.choice(["", " "]) for _ in range(600)})
+    indexed, scanned = templates.Bucket(threshold, True), templates.Bucket(threshold, True)
+    got = [indexed.add(x) for x in lines[:300]]
+    indexed = pickle.loads(pickle.dumps(indexed))  # as a stream does between batches
+    got += [indexed.add(x) for x in lines[300:]]
+    monkeypatch.setattr(templates, "INDEXED", 1 << 60)
+    assert got == [scanned.add(x) for x in lines] and [n.text for n in indexed.nodes] == [n.text for n in scanned.nodes]
+
+
+def test_a_line_is_held_against_few_templates(monkeypatch):
+    """Lines of a bucket that differ cost about as much as they are many."""
+    calls, similarity = [], templates.Template.similarity
+    monkeypatch.setattr(templates.Template, "similarity", lambda *a: calls.append(1) or similarity(*a))
+    bucket = templates.Bucket(0.5, False)
+    for i in range(1000):
+        bucket.add(f"the a{i} of b{i} and c{i} d{i}")
+    assert len(bucket.nodes) == 1000 and len(calls) < 2000
