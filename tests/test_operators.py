@@ -179,3 +179,13 @@ def test_a_line_is_held_against_few_templates(monkeypatch):
     for i in range(1000):
         bucket.add(f"the a{i} of b{i} and c{i} d{i}")
     assert len(bucket.nodes) == 1000 and len(calls) < 2000
+
+
+def test_frequencies(spark, monkeypatch):
+    from logweave.functions import masking
+
+    masked = []
+    monkeypatch.setattr(masking, "DEFAULT", lambda c, chain=masking.DEFAULT: masked.append(1) or chain(c))
+    df = spark.createDataFrame([(x,) for x in [*LINES, LINES[0], LINES[3], LINES[3], "", None]], "value string")
+    assert {r.template: r.n for r in pipelines.template_frequencies(df).collect()} == {"Folder <*> was made": 3, "Entry of guest <*>, result: <*>": 5, "Guest <*> went off gladly": 2, None: 2}
+    assert len(masked) == 1  # masks are most of the work
